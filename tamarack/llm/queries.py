@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import pointer_key, pointer_key_sql, strip_sql
+from tamarack.llm.bpe import count_tokens, encode_corpus
+from tamarack.llm.packing import fill_report, pack
 from tamarack.llm.terms import term_frequency
 from tamarack.llm.topn import top_n
 from tamarack.sources.parquet import table
@@ -36,6 +38,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_top(spark, d).select("news_id", "mention_id")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    counts = count_tokens(table(spark, d, "documents", "doc_id", "source", "text"), ["doc_id", "source"], "text")
+    specs = {r["spec"]: r["capacity"] for r in table(spark, d, "pack_spec", "spec", "capacity").collect()}  # a fixed few
+    return pack(counts.withColumnsRenamed({"doc_id": "item", "n_tokens": "size"}), specs)
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("item", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(_packed(spark, d))
+
+
 _P4 = f"""
 with piece as (
   select 'entity.kind' as field_name, id, unnest(regexp_split_to_array(kind, '[;,/|]')) as x from entity
@@ -61,4 +81,4 @@ SQL = {
     "p5_found": f"select news_id, mention_id from ({_P5})",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top}
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
