@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.text import pointer_key, pointer_key_sql, strip_sql
 from tamarack.llm.bpe import count_tokens, encode_corpus
 from tamarack.llm.packing import fill_report, pack
+from tamarack.llm.sentences import split_sentences
 from tamarack.llm.terms import term_frequency
 from tamarack.llm.topn import top_n
 from tamarack.sources.parquet import table
@@ -56,6 +57,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 _P4 = f"""
 with piece as (
   select 'entity.kind' as field_name, id, unnest(regexp_split_to_array(kind, '[;,/|]')) as x from entity
@@ -81,4 +86,4 @@ SQL = {
     "p5_found": f"select news_id, mention_id from ({_P5})",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
