@@ -19,6 +19,8 @@ from tamarack.plans.scale import salt
 
 #: Ways in which the references to one key are split; its parent row is repeated as often.
 WAYS = 4
+#: Ways over which unreadable pointers spread.
+UNREAD_WAYS = 1024
 
 
 def parent_intervals(parents: Mapping[str, DataFrame], removals: DataFrame) -> DataFrame:
@@ -53,18 +55,19 @@ def orphan_references(references: DataFrame, sides: Mapping[str, tuple[str, str]
     ``(pointer column, parent table)``. The result has one row ``(reference_id, side, table,
     first_loaded_at, reason)`` per reference id and side. A reference counts from its first load;
     delivered again with another pointer, each of its pointers is judged, and the first reason of
-    ``late, missing, removed, unreadable`` stands. Null pointers are no references, a null id is an
-    id of its own, and empty tables give an empty result.
+    ``late, missing, removed, unreadable`` stands. Null pointers are no references; rows without id
+    are judged one by one and share a result row per side; empty tables give an empty result.
     """
     ways = F.array(*[F.lit(i) for i in range(WAYS)])
     every = references.select(
         F.col("id").alias("_id"),
+        F.when(F.col("id").isNull(), F.xxhash64(F.col("loaded_at"), *[F.col(c) for c, _ in sides.values()])).alias("_alone"),  # no id, no common group
         F.col("loaded_at").alias("_at"),
         *[pointer_key(F.col(c), t).alias(f"_k_{s}") for s, (c, t) in sides.items()],
         *[F.col(c).isNotNull().alias(f"_p_{s}") for s, (c, _) in sides.items()],
     )
     # a delivery's pointers stay together until the reference's first load is known: one exchange on the id
-    by_id = every.groupBy("_id").agg(
+    by_id = every.groupBy("_id", "_alone").agg(
         F.min("_at").alias("_first"),
         F.collect_set(F.struct(*[c for c in every.columns if c[:3] in ("_k_", "_p_")])).alias("_pointers"),
     )
@@ -73,17 +76,18 @@ def orphan_references(references: DataFrame, sides: Mapping[str, tuple[str, str]
         "_first",
         F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("table"), F.col(f"_p._k_{s}").alias("key"), F.col(f"_p._p_{s}").alias("there")) for s, (_, t) in sides.items()])).alias("_r"),
     )
-    refs = refs.where("_r.there").select("_id", "_first", F.col("_r.side").alias("_side"), F.col("_r.table").alias("_table"), F.col("_r.key").alias("_key"), salt(F.col("_id"), WAYS).alias("_way"))
+    # what can't be read goes through the merge as well, in ways that no parent has, so that the references are read once
+    key, way = F.col("_r.key"), salt(F.col("_id"), WAYS)
+    refs = refs.where("_r.there").select("_id", "_first", F.col("_r.side").alias("_side"), F.col("_r.table").alias("_table"), F.coalesce(key, F.lit("")).alias("_key"), F.when(key.isNotNull(), way).otherwise(-1 - salt(F.col("_id"), UNREAD_WAYS)).alias("_way"))
     keys = parent_intervals(parents, removals).withColumn("_way", F.explode(ways))
-    readable, unreadable = refs.where(F.col("_key").isNotNull()), refs.where(F.col("_key").isNull())
-    merged = readable.join(keys.hint("merge"), ["_table", "_key", "_way"], "left")
+    merged = refs.join(keys.hint("merge"), ["_table", "_key", "_way"], "left")
     reason = (
-        F.when(F.coalesce("_stored", F.lit(0)) == 0, "missing")
+        F.when(F.col("_way") < 0, "unreadable")
+        .when(F.coalesce("_stored", F.lit(0)) == 0, "missing")
         .when(F.col("_until").isNotNull(), "removed")
         .when(F.col("_from") > F.col("_first"), "late")
     )
     found = merged.select("_id", "_side", "_table", "_first", reason.alias("_reason")).where(F.col("_reason").isNotNull())
-    found = found.unionAll(unreadable.select("_id", "_side", "_table", "_first", F.lit("unreadable")))
     return found.groupBy(F.col("_id").alias("reference_id"), F.col("_side").alias("side"), F.col("_table").alias("table")).agg(
         F.min("_first").alias("first_loaded_at"), F.min("_reason").alias("reason")
     )
