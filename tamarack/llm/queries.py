@@ -11,11 +11,19 @@ from tamarack.llm.packing import fill_report, pack
 from tamarack.llm.sentences import split_sentences
 from tamarack.llm.terms import term_frequency
 from tamarack.llm.topn import top_n
+from tamarack.llm.vectors import similar_vectors
 from tamarack.sources.parquet import table
 
+#: Similarity from which a pair of news records is a case.
+CLOSE = 0.85
 TERM_FIELDS = {"entity.kind": ("entity", "kind"), "document.status": ("document", "status")}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = similar_vectors(table(spark, d, "news", "id", "emb", "loaded_at"), "id", "emb", "loaded_at", 10, 64, CLOSE)
+    return near.select(F.least("id", "similar_id").alias("id_a"), F.greatest("id", "similar_id").alias("id_b")).distinct()
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t, "id", c).select(F.lit(field).alias("field_name"), "id", F.col(c).alias("value")) for field, (t, c) in TERM_FIELDS.items()]
     return term_frequency(parts[0].unionAll(parts[1]))
@@ -61,6 +69,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+_P1 = """
+with v as (
+  select id, emb::double[] as x from news where id is not null and len(emb) = 64
+  and len(list_filter(emb, lambda y: y is not null and isfinite(y))) = 64 and len(list_filter(emb, lambda y: y <> 0)) > 0
+  qualify row_number() over (partition by id order by loaded_at desc nulls last) = 1),
+s as (select a.id as id, b.id as other, round(list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)), 6) as s from v a join v b on a.id <> b.id),
+t as (select * from s qualify row_number() over (partition by id order by s desc, other) <= 10)
+select distinct least(id, other) as id_a, greatest(id, other) as id_b from t where s >= 0.85"""
+
 _P4 = f"""
 with piece as (
   select 'entity.kind' as field_name, id, unnest(regexp_split_to_array(kind, '[;,/|]')) as x from entity
@@ -80,10 +97,11 @@ select 'news:' || key as news_id, id as mention_id, relevance, row_number() over
 from last where key is not null and relevance is not null qualify place <= 3"""
 
 SQL = {
+    "p1_found": _P1,
     "p4_terms": _P4,
     "p4_found": f"select field_name, item from ({_P4}) where mark is not null",
     "p5_top": _P5,
     "p5_found": f"select news_id, mention_id from ({_P5})",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
