@@ -1,0 +1,57 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tamarack.llm.bpe import PATTERN, VOCABULARY, Encoder, count_tokens, decode_corpus, encode_corpus
+
+TEXTS = ["", None, "Hello world", "<|endoftext|> is text", "  two  blanks \n\n", "naïve café 你好，世界。 नमस्ते ภาษาไทย", "'s 're don't 12345", "a\x00b﻿​🔧👩‍🔧", "ab" * 5000, "\n" * 3000]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(VOCABULARY, "rb") as f:
+        return Encoder(f.read())
+
+
+@pytest.fixture(scope="module")
+def reference():
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(VOCABULARY, "rb") as f:
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=Encoder(f.read()).ranks, special_tokens={})
+
+
+def test_equals_the_public_encoder(encoder, reference):
+    for t in TEXTS:
+        assert encoder.encode(t) == reference.encode_ordinary(t or "")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_is_encoded_as_by_the_public_encoder_and_decodes_to_itself(encoder, reference, t):
+    ids = encoder.encode(t)
+    assert ids == reference.encode_ordinary(t)
+    assert encoder.decode(ids) == t
+
+
+def test_forgetting_pieces_changes_nothing(encoder, monkeypatch):
+    monkeypatch.setattr("tamarack.llm.bpe.KEPT_PIECES", 2)
+    fresh = Encoder(open(VOCABULARY, "rb").read())
+    assert fresh.encode(TEXTS[5] * 3) == encoder.encode(TEXTS[5] * 3)
+
+
+def test_corpus_round_trip(spark, encoder):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, "again", None), (None, "no key", None)], "doc_id long, text string, ids string")
+    ids = encode_corpus(df, "doc_id", "text")
+    got = ids.collect()
+    assert len(got) == len(TEXTS) + 2
+    assert {(r["doc_id"], tuple(r["ids"])) for r in got} == {(r["doc_id"], tuple(encoder.encode(r["text"]))) for r in df.collect()}
+    back = {r["doc_id"]: r["text"] for r in decode_corpus(ids, "doc_id", "ids").where("doc_id > 0").collect()}
+    assert back == {i: t or "" for i, t in enumerate(TEXTS) if i}
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df.where("doc_id > 0"), ["doc_id"], "text").collect()}
+    assert counts == {i: len(encoder.encode(t)) for i, t in enumerate(TEXTS) if i}
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert encode_corpus(df, "doc_id", "text").count() == 0
+    assert encode_corpus(df, "doc_id", "text").schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
