@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamarack.plans.scale import spread
+from tamarack.plans.scale import ship_code, spread
 
 #: Where the rank file is; a parameter of everything below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -100,6 +100,7 @@ def _encoder(ranks: bytes) -> Encoder:
 
 def _share(df: DataFrame, vocabulary: str):
     """The rank file (below 1 MB) for all workers."""
+    ship_code(df.sparkSession)
     with open(vocabulary, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.plans.scale import cut_lineage
+from tamarack.plans.scale import cut_lineage, ship_code
 
 #: Chunks of a queue; a source with a third of all rows is summed in this many parts.
 CHUNK_BITS = 7
@@ -85,6 +85,7 @@ def pack(sizes: DataFrame, specs: Mapping[str, int], mixture: Mapping[str, float
         if capacity < 1:
             raise ValueError(f"capacity of {name!r} is below 1")
     spark = sizes.sparkSession
+    ship_code(spark)
     items = sizes.select(
         F.col("item").cast("long").alias("_item"), F.coalesce(F.col("source"), F.lit("")).alias("_queue"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("_size"), F.xxhash64("item").alias("_hash")
     )

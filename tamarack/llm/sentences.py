@@ -21,7 +21,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamarack.plans.scale import spread
+from tamarack.plans.scale import ship_code, spread
 
 BREAK, KEEP = True, False
 Rule = tuple[bool, str, str]
@@ -270,6 +270,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, start_char, end_char)``, one row per sentence unit of each row's text."""
+    ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
