@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,9 +49,18 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def shuffle_parts(spark: SparkSession, per_core: int = 3) -> int:
-    """Partitions of an explicit exchange: what the session asks for, at least ``per_core`` a core."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * cores(spark))
+#: Bytes of input per partition of an explicit exchange.
+PART_BYTES = 64 << 20
+
+
+def shuffle_parts(df: DataFrame, per_core: int = 3, growth: float = 1.0) -> int:
+    """Partitions of an explicit exchange of ``df``'s rows: by their size as the optimizer estimates it,
+    ``growth`` times that if an operator multiplies them; at least what the session asks for and
+    ``per_core`` a core."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 50  # a plan without statistics claims the largest number there is
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * cores(spark), math.ceil(size * growth / PART_BYTES) if known else 0)
 
 
 def spread(df: DataFrame, *by: str | Column, per_core: int = 2) -> DataFrame:
