@@ -34,7 +34,7 @@ def term_bitmaps(values: DataFrame) -> DataFrame:
     """
     pieces = values.select("field_name", "id", F.explode(terms_of(F.col("value"))).alias("item"))
     postings = pieces.groupBy("field_name", "id", "item").agg(F.count("*").alias("_n"))
-    buckets = shuffle_parts(values.sparkSession, 1)
+    buckets = shuffle_parts(values, 1)
     numbered = postings.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).withColumn(
         "_number", F.dense_rank().over(Window.partitionBy("field_name", "bucket").orderBy("id")) - 1
     )

@@ -23,12 +23,11 @@ def top_n(df: DataFrame, group: Column, item: str, score: str, version: str, n:
     decides: with a null group, or a null or NaN score, the item is in no group. Infinite scores
     are scores, and the two zeros are equal. Items without id are dropped, as they cannot be named.
     """
-    spark = df.sparkSession
     number = F.col(score).cast("double")
     rows = df.where(F.col(item).isNotNull()).select(
         F.col(item).alias("_item"), group.alias("_group"), F.when(~F.isnan(number), number + 0.0).alias("_score"), F.col(version).alias("_version")
     )
-    parts = shuffle_parts(spark, 1)
+    parts = shuffle_parts(df, 1)
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("_item"), F.lit(parts)).cast("int")).repartition(parts, "_part")
     last = Window.partitionBy("_part", "_item").orderBy(F.col("_version").desc_nulls_last(), F.col("_score").desc_nulls_last(), F.col("_group").desc_nulls_last())
     items = rows.withColumn("_i", F.row_number().over(last)).where("_i = 1 and _group is not null and _score is not null")
