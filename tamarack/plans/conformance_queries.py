@@ -53,9 +53,9 @@ ONTOLOGIES = {
 }
 
 
-def test_catalog(spark: SparkSession, d: str, ontology: Ontology | None = None) -> Catalog:
-    """The test tables that an ontology names, with the definitions above; record fields are marked as such."""
-    named = {t.table for t in ontology.types} | {r.table for r in ontology.relations if r.table} if ontology else set(TABLES)
+def test_catalog(spark: SparkSession, d: str, *names: str, ontology: Ontology | None = None) -> Catalog:
+    """Test tables by name, or those that an ontology names, with the definitions above; record fields are marked as such."""
+    named = {*names} | ({t.table for t in ontology.types} | {r.table for r in ontology.relations if r.table} if ontology else set())
     frames = {t: table(spark, d, t) for t in TABLES if t in named}
     if "news" in frames:
         frames["news"] = frames["news"].withColumn("feed", F.col("feed").alias("feed", metadata={"link": "feed"}))
@@ -64,7 +64,7 @@ def test_catalog(spark: SparkSession, d: str, ontology: Ontology | None = None)
 
 def _findings(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return check(ONTOLOGIES[name], test_catalog(spark, d, ONTOLOGIES[name]), spark.version).to_frame(spark)
+        return check(ONTOLOGIES[name], test_catalog(spark, d, ontology=ONTOLOGIES[name]), spark.version).to_frame(spark)
 
     return query
 
@@ -76,14 +76,14 @@ def row_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def field_presence(spark: SparkSession, d: str) -> DataFrame:
     """Presence of every column of a table, in one aggregation."""
-    t = test_catalog(spark, d).tables["technical_assessment"]
+    t = test_catalog(spark, d, "technical_assessment").tables["technical_assessment"]
     names = ["id", "code", "body_text", "status", "issued_at", "load_id", "loaded_at", "no_such_column"]
     row = facts.counts(t, names)
     return row.select("total", F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(f"present_{i}").cast("long").alias("present")) for i, n in enumerate(names)])).alias("p")).select("p.*", "total")
 
 
 def json_field_presence(spark: SparkSession, d: str) -> DataFrame:
-    return facts.counts(test_catalog(spark, d).tables["events"], ["k", "zz"]).select(F.col("present_0").alias("k"), F.col("present_1").alias("zz"), "total")
+    return facts.counts(test_catalog(spark, d, "events").tables["events"], ["k", "zz"]).select(F.col("present_0").alias("k"), F.col("present_1").alias("zz"), "total")
 
 
 def variant_field_presence(spark: SparkSession, d: str) -> DataFrame:
@@ -93,22 +93,22 @@ def variant_field_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def value_sample(spark: SparkSession, d: str) -> DataFrame:
-    return facts.sample(test_catalog(spark, d).tables["entity"], "kind", facts.VALUES, ["id"]).groupBy("value").agg(F.count("*").alias("n"))
+    return facts.sample(test_catalog(spark, d, "entity").tables["entity"], "kind", facts.VALUES, ["id"]).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def vocabulary_violations(spark: SparkSession, d: str) -> DataFrame:
     """Sampled values outside of the vocabulary, as an anti join."""
     codes = spark.createDataFrame([(v,) for v in ENTITY.attrs[1].value_codes()], "value string")
-    return facts.sample(test_catalog(spark, d).tables["entity"], "kind", facts.VALUES, ["id"]).distinct().join(codes, "value", "left_anti")
+    return facts.sample(test_catalog(spark, d, "entity").tables["entity"], "kind", facts.VALUES, ["id"]).distinct().join(codes, "value", "left_anti")
 
 
 def embedding_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    lengths = facts.sample(test_catalog(spark, d).tables["news"], "emb", facts.EMBEDDINGS, ["id"]).select(F.size("value").alias("dim"))
+    lengths = facts.sample(test_catalog(spark, d, "news").tables["news"], "emb", facts.EMBEDDINGS, ["id"]).select(F.size("value").alias("dim"))
     return lengths.groupBy("dim").agg(F.count("*").alias("n"))
 
 
 def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    return facts.edge_ends(test_catalog(spark, d).tables["mentions"])
+    return facts.edge_ends(test_catalog(spark, d, "mentions").tables["mentions"])
 
 
 def weight_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -68,11 +68,11 @@ with r as (
   select load_id, 'status' as field_name, case when not {_NULL_STATUS} then status end as value, case when not {_NULL_STATUS} then status end as cell,
     case when not {_NULL_STATUS} and status not in ('current', 'revoked') then 1 else 0 end as odd, 0 as outside from technical_assessment
   union all
-  select load_id, 'issued_at', issued_at::varchar, case when issued_at is null then null when issued_at > loaded_at then 'after'
+  select load_id, 'issued_at', strftime(issued_at, '%Y-%m-%d %H:%M:%S.%f'), case when issued_at is null then null when issued_at > loaded_at then 'after'
       when loaded_at - issued_at < interval 30 day then '0' when loaded_at - issued_at < interval 180 day then '30' else '180' end,
     0, case when issued_at > loaded_at or issued_at < timestamp '1990-01-01' then 1 else 0 end from technical_assessment),
 load as (
-  select load_id, field_name, count(*) as n, count(*) - count(value) as nulls, count(distinct value) as d, sum(odd) as odd, sum(outside) as outside from r group by 1, 2),
+  select load_id, field_name, count(*) as n, count(*) - count(value) as nulls, count(distinct value) as d, min(value) as lowest, max(value) as highest, sum(odd) as odd, sum(outside) as outside from r group by 1, 2),
 l as (select *, lag(n) over w as n0, lag(nulls) over w as nulls0, lag(load_id) over w as before, lead(load_id) over w as after from load window w as (partition by field_name order by load_id)),
 share as (
   select r.load_id, r.field_name, r.cell, l.after, count(*) / (l.n - l.nulls) as s from r join l using (load_id, field_name) where r.cell is not null group by r.load_id, r.field_name, r.cell, l.after, l.n, l.nulls),
@@ -86,6 +86,12 @@ moved as (
 SQL = {
     "p2_found": _p2_sql("select id as mention_id, side from orphan"),
     "p2_report": _p2_sql("select tbl as \"table\", strftime(first, '%Y-%m') as month, reason, count(*) as n from orphan group by 1, 2, 3"),
+    "p3_profile": _P3
+    + r"""
+select load_id, field_name, n as n_rows, nulls as n_null, d as n_distinct, lowest, highest, outside::bigint as n_outside,
+  case field_name when 'status' then '\A(?:current|revoked)\z' else '\A(?:\p{Nd}{4}\-\p{Nd}{2}\-\p{Nd}{2}\ \p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}\.\p{Nd}{6})\z' end as expression,
+  odd::bigint as n_nonconforming, before as before_load_id, n0 as before_rows, nulls0 as before_null, (n0 - nulls0 - odd0)::bigint as before_covered, case when before is not null then coalesce(moved, 0) end as moved
+from (select *, lag(odd) over (partition by field_name order by load_id) as odd0 from l) left join moved using (load_id, field_name)""",
     "p3_found": _P3
     + """
 select load_id, field_name, 'null_rate' as check_name from l where abs(nulls * n0 - nulls0 * n) * 100 > n * n0 * 10

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tamarack.sources.ddl import Definitions, FieldDef, IndexDef, TableDef, read_definitions
 
 #: A definition script in a data directory has this name.
-SCRIPT = "definitions.surql"
+SCRIPT = "definitions.ddl"
 
 
 def type_name(t: T.DataType, link: str | None = None) -> str:
@@ -78,7 +78,7 @@ def from_frames(frames: Mapping[str, DataFrame], script: str = "", source: str =
 def from_directory(spark: SparkSession, directory: str, script: str | None = None, payloads: Mapping[str, str] | None = None) -> Catalog:
     """A catalog of the ``*.parquet`` files or folders of a directory on any file system that Spark reads.
 
-    ``script`` is the text of definition statements; by default it is the directory's ``definitions.surql``.
+    ``script`` is the text of definition statements; by default it is the directory's ``definitions.ddl``.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(directory)

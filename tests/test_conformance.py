@@ -235,7 +235,7 @@ def test_report(spark):
 
 def test_sources(spark, tmp_path):
     assessments(spark).write.parquet(str(tmp_path / "technical_assessment.parquet"))
-    (tmp_path / "definitions.surql").write_text(LOOSE)
+    (tmp_path / "definitions.ddl").write_text(LOOSE)
     assert from_directory(spark, str(tmp_path)).tables["technical_assessment"].definition.kind == "any"
     assert from_directory(spark, str(tmp_path), "").tables["technical_assessment"].definition.kind == "normal"
     assessments(spark).createOrReplaceTempView("technical_assessment")
