@@ -2,8 +2,9 @@
 
 A check's plan first states what it needs to know. Per table that is one aggregation for the row
 count and the presence of all undefined fields, whatever their number, and one ordered sample per
-sampled field; tables are measured side by side. If a fused aggregation fails, its facts are
-measured one by one when they are asked for, so that one broken field spoils nothing else.
+sampled field; the ends of edges are aggregated over all rows. Tables are measured side by side. If
+a fused aggregation fails, its facts are measured one by one when they are asked for, so that one
+broken field spoils nothing else.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 
 from tamarack.sources.catalog import Catalog, Table
 
-#: Rows of a sample: of values, of embeddings, of edges.
-VALUES, EMBEDDINGS, EDGES = 200, 500, 200
+#: Rows of a sample: of values, of embeddings.
+VALUES, EMBEDDINGS = 200, 500
 #: Tables measured at the same time.
 AT_ONCE = 4
 ENDS = (("in", "out"), ("in_id", "out_id"))
@@ -57,12 +58,14 @@ def sample(table: Table, name: str, limit: int, order: list[str]) -> DataFrame:
     return rows.orderBy(*[c for c in rows.columns if _sortable(rows.schema[c].dataType)]).limit(limit).select("value")
 
 
-def edge_ends(table: Table, limit: int = EDGES) -> DataFrame:
-    """Distinct ``(source, target)`` tables of the first edges by pointer; a missing pointer reads ``None``."""
+def edge_ends(table: Table) -> DataFrame:
+    """Distinct ``(source, target)`` tables of all edges; a missing pointer reads ``None``.
+
+    Edges are made distinct where they are read, so that what is exchanged are tables, not edges.
+    """
     a, b = next((p for p in ENDS if set(p) <= set(table.rows.columns)), ENDS[0])
-    first = table.rows.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).orderBy("a", "b").limit(limit)
-    of = lambda c: F.coalesce(F.split_part(F.col(c), F.lit(":"), F.lit(1)), F.lit("None"))
-    return first.select(of("a").alias("source"), of("b").alias("target")).distinct()
+    of = lambda c: F.coalesce(F.split_part(F.col(f"`{c}`"), F.lit(":"), F.lit(1)), F.lit("None"))
+    return table.rows.select(of(a).alias("source"), of(b).alias("target")).distinct()
 
 
 def _length(table: Table, name: str) -> Column | None:
