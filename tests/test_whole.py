@@ -1,6 +1,6 @@
 """The whole job over all rows, where a part of them would look the same on small tables."""
 
-from tamarack.plans import facts
+from tamarack.plans import extension_queries, facts
 from tamarack.sources.catalog import from_frames
 
 
@@ -10,3 +10,11 @@ def test_edge_ends_of_all_rows(spark):
         edges = from_frames({"edge": spark.createDataFrame(rows, f"`{a}` string, `{b}` string")}).tables["edge"]
         got = {tuple(r) for r in facts.edge_ends(edges).collect()}
         assert got == {("None", "entity"), ("news", "entity"), ("entity", "news"), ("news", "None")}
+
+
+def test_neighbours_of_every_document(spark, tmp_path):
+    rows = [(i, i % 3, i // 3 * (2 if i % 2 else 1)) for i in range(90)] + [(90, None, 1), (91, 1, None)]
+    spark.createDataFrame(rows, "doc_id long, bitext_id int, seg_no int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in extension_queries.neighbours(spark, str(tmp_path)).collect()]
+    near = {(str(a), b) for a, s, i in rows for b, t, j in rows if None not in (s, t, i, j) and s == t and abs(i - j) <= 2}
+    assert len(got) == len(near) and set(got) == near
