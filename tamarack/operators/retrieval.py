@@ -1,19 +1,30 @@
 """Search over declared units, and how good it is: extensions of the conformance engine.
 
-All operators take and give DataFrames and stay in built-in expressions. Ranked lists have
-``(query_id, unit_id, score, place)``; places start at 1 and ties go to the smaller id.
+All operators take and give DataFrames. They stay in built-in expressions, except for searches by
+many queries, ``bm25_each`` and ``cosine_each``: there blocks of units meet blocks of queries in
+Arrow batches. Ranked lists have ``(query_id, unit_id, score, place)``; places start at 1 and ties
+go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tamarack.plans.scale import salt, ship_code
 
 #: Usual constants of BM25 and of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Units and queries in a block, and the queries of a block that are compared at once.
+UNITS, QUERIES, AT_ONCE = 8192, 8192, 128
 
 
 def tokens(text: Column) -> Column:
@@ -46,6 +57,74 @@ def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(scored.groupBy("query_id", "unit_id").agg(F.sum("score").alias("score")), k)
 
 
+def _in_blocks(units: DataFrame, queries: DataFrame, search: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` best of each query, where every block of units meets every block of queries with the same ``keys``.
+
+    ``search`` gets two blocks, the units by id, and gives positions of queries and of units and the
+    scores, ``k`` a query at most.
+    """
+    ship_code(units.sparkSession)
+    a, b = (max(1, math.ceil(df.count() / n)) for df, n in ((units, UNITS), (queries, QUERIES)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = units.select("*", salt(F.col("unit_id"), a).alias("_u")).select("*", each(b).alias("_q"))
+    right = queries.select("*", salt(F.col("query_id"), b).alias("_q")).select("*", each(a).alias("_u"))
+
+    def run(x: pa.Table, q: pa.Table) -> pa.Table:
+        if not (x.num_rows and q.num_rows):
+            return pa.table({"query_id": q["query_id"].slice(0, 0), "unit_id": x["unit_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        x = x.take(pc.sort_indices(x, sort_keys=[("unit_id", "ascending")], null_placement="at_start"))
+        i, j, score = search(x, q)
+        return pa.table({"query_id": q["query_id"].take(pa.array(i)), "unit_id": x["unit_id"].take(pa.array(j)), "score": pa.array(score, pa.float64())})
+
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("unit_id", units.schema["unit_id"].dataType), T.StructField("score", T.DoubleType())])
+    by = ["_u", "_q", *keys]
+    return ranked(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema), k)
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Items of all lists, and how many each list has."""
+    return pa.concat_arrays([c.flatten() for c in lists.chunks]), pc.list_value_length(lists).to_numpy()
+
+
+def bm25_each(units: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """``bm25`` for many queries, whole texts among them, by scores of so many ``digits``.
+
+    A block of units is an inverted file; a query adds up the weights of its words' postings there,
+    and only its ``k`` best leave the block.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    words = units.select("unit_id", tokens(F.col("text")).alias("words"))
+    n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
+    mean, ten = float(mean or 1), 10.0**digits
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = asked.join(df, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t")).groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+
+    def search(x: pa.Table, q: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, length = _flat(x["words"])
+        of = flat.dictionary_encode()
+        known = {t: i for i, t in enumerate(of.dictionary.to_pylist())}
+        posting, tf = np.unique(of.indices.to_numpy().astype(np.int64) * len(length) + np.repeat(np.arange(len(length)), length), return_counts=True)
+        row, start = posting % len(length), np.searchsorted(posting // len(length), np.arange(len(known) + 1))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+        found = []
+        for i, (ts, idfs) in enumerate(zip(q["term"].to_pylist(), q["idf"].to_pylist(), strict=True)):
+            score = np.zeros(len(length))
+            for t, w in zip(ts, idfs, strict=True):
+                if (c := known.get(t)) is not None:
+                    score[row[start[c] : start[c + 1]]] += w * weight[start[c] : start[c + 1]]
+            hit = np.flatnonzero(score)
+            score = np.floor(score[hit] * ten + 0.5) / ten
+            if len(hit) > k:
+                best = np.flatnonzero(score >= np.partition(score, len(hit) - k)[len(hit) - k])
+                hit, score = hit[best], score[best]
+            order = np.argsort(-score, kind="stable")[:k]
+            found.append((np.full(len(order), i), hit[order], score[order]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    return _in_blocks(words, terms.select("query_id", F.col("t.term").alias("term"), F.col("t.idf").alias("idf")), search, k)
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -59,6 +138,37 @@ def cosine(units: DataFrame, query: Sequence[float], k: int, query_id: str = "q"
     return ranked(best.select(F.lit(query_id).alias("query_id"), "unit_id", "score"), k)
 
 
+def cosine_each(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact vector search of ``units(unit_id, emb)`` for each of ``queries(query_id, emb)``.
+
+    Vectors meet those of their own length; vectors of length 0 or with values that are no finite
+    numbers have no score. A product of matrices finds the candidates, whose scores are then added up
+    in the order of ``cosine``, so that equal vectors have equal scores.
+    """
+    usable = lambda df: df.withColumn("_dim", F.size("emb")).where((_dot(F.col("emb"), F.col("emb")) > 0) & (_dot(F.col("emb"), F.col("emb")) < float("inf")))
+
+    def vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = _flat(rows["emb"])[0].to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+        return x, np.sqrt(reduce(np.add, (c * c for c in x.T)))
+
+    def search(x: pa.Table, q: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (x, x_size), (q, q_size), found = vectors(x), vectors(q), []
+        unit = (x / x_size[:, None]).T
+        for at in range(0, len(q), AT_ONCE):
+            near = (q[at : at + AT_ONCE] / q_size[at : at + AT_ONCE, None]) @ unit
+            least = max(len(x) - k, 0)
+            i, j = np.nonzero(near >= np.partition(near, least, axis=1)[:, least, None] - 1e-9)
+            i += at
+            score = reduce(np.add, (q[i, d] * x[j, d] for d in range(x.shape[1]))) / x_size[j] / q_size[i]
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((i[kept], j[kept], score[kept]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    return _in_blocks(usable(units.select("unit_id", "emb")), usable(queries.select("query_id", "emb")), search, k, ["_dim"])
+
+
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     """Ranked lists to one, by the sum of ``1 / (constant + place)``. A list that is missing or empty is no error."""
     every = reduce(DataFrame.unionByName, [r.select("query_id", "unit_id", "place") for r in lists])
@@ -117,5 +227,17 @@ def evaluate(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """
     hits = relevant.distinct().withColumn("_r", F.lit(1)).join(ranking.where(F.col("place") <= k).select("query_id", "unit_id", "place"), ["query_id", "unit_id"], "left")
     per = hits.groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("place").alias("found"), F.min("place").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("place") + 1.0)), F.lit(0.0)).alias("gain"))
+    return _measures(per, k)
+
+
+def _measures(per: DataFrame, k: int) -> DataFrame:
     ideal = F.aggregate(F.expr(f"sequence(1, least(cast(wanted as int), {k}))"), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     return per.select("query_id", (F.col("found") / F.col("wanted")).alias("recall"), (F.col("found") / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), (F.col("gain") / ideal).alias("ndcg"))
+
+
+def evaluate_common(ranking: DataFrame, queries: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """``evaluate`` where ``relevant(unit_id)`` is the same for all ``queries(query_id)``, without a row for each pair."""
+    good = relevant.select("unit_id").distinct()
+    hits = ranking.where(F.col("place") <= k).join(good, "unit_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("found"), F.min("place").alias("first"), F.sum(1 / F.log2(F.col("place") + 1.0)).alias("gain"))
+    per = queries.select("query_id").distinct().join(hits, "query_id", "left").crossJoin(F.broadcast(good.agg(F.count("*").alias("wanted")))).where("wanted > 0")
+    return _measures(per.fillna(0, ["found"]).fillna(0.0, ["gain"]), k)

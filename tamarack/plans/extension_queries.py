@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tamarack.operators import evidence, retrieval
 from tamarack.sources.parquet import table
 
+#: The queries of the SQL twins.
 ASKED = {"q1": "coastal spillway repair", "q2": "the quiet signal box", "q3": "wordthatnobodyuses"}
 NOW = "2025-06-30"
+#: Every so many records one is a query.
+EVERY = 50
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -18,8 +21,9 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
     return news.where("body is not null").groupBy(F.col("id").alias("unit_id")).agg(F.max("body").alias("text"), F.max("feed").alias("source"), F.max("published_at").alias("at"))
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED.items()), "query_id string, text string")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the units whose number is divisible by ``EVERY``, as queries."""
+    return _units(spark, d).where(F.regexp_extract("unit_id", "([0-9]+)$", 1).try_cast("bigint") % EVERY == 0).select(F.col("unit_id").alias("query_id"), "text")
 
 
 def _rounded(ranking: DataFrame) -> DataFrame:
@@ -27,13 +31,13 @@ def _rounded(ranking: DataFrame) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return retrieval.ranked(_rounded(retrieval.bm25(_units(spark, d), _asked(spark), 10**6)), k)  # ties are ties of rounded scores
+    return retrieval.bm25_each(_units(spark, d), _asked(spark, d), k, 6)  # ties are ties of rounded scores
 
 
 def _newest(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    """The newest units that the queries' scopes hold, as a second ranked list."""
-    scored = _units(spark, d).where("source is not null").select(F.lit("q1").alias("query_id"), "unit_id", F.unix_seconds(F.col("at").cast("timestamp")).cast("double").alias("score"))
-    return retrieval.ranked(scored, k)
+    """The newest units that the queries' scopes hold, as a second ranked list of each query."""
+    scored = _units(spark, d).where("source is not null").select(F.lit("").alias("query_id"), "unit_id", F.unix_seconds(F.col("at").cast("timestamp")).cast("double").alias("score"))
+    return _asked(spark, d).select("query_id").crossJoin(F.broadcast(retrieval.ranked(scored, k).drop("query_id")))
 
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +46,8 @@ def bm25_top(spark: SparkSession, d: str) -> DataFrame:
 
 def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     units = table(spark, d, "embeddings", "vec_id", "embedding").withColumnsRenamed({"vec_id": "unit_id", "embedding": "emb"})
-    query = units.where("unit_id = 0").first()["emb"]
-    return _rounded(retrieval.cosine(units, query, 10))
+    queries = units.where(F.col("unit_id") % EVERY == 0).select(F.col("unit_id").cast("string").alias("query_id"), "emb")
+    return _rounded(retrieval.cosine_each(units, queries, 10))
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +84,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluation(spark: SparkSession, d: str) -> DataFrame:
     good = _units(spark, d).where("text like '%repair%' or text like '%signal box%'")
-    relevant = good.select(F.explode(F.array(*map(F.lit, ASKED))).alias("query_id"), "unit_id")
-    e = retrieval.evaluate(_found(spark, d), relevant, 10)
+    e = retrieval.evaluate_common(_found(spark, d), _asked(spark, d), good, 10)
     return e.select("query_id", *[F.round(c, 6).alias(c) for c in e.columns[1:]])
 
 
