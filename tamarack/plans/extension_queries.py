@@ -131,7 +131,7 @@ def figure_check(spark: SparkSession, d: str) -> DataFrame:
 
 def undelivered(spark: SparkSession, d: str) -> DataFrame:
     pair = lambda t, a, b: table(spark, d, t, a, b).select(F.col(a).alias("run_id"), F.col(b).alias("unit_id"))
-    return evidence.undelivered_citations(pair("mentions", "in_id", "out_id").where("unit_id like '%7'"), pair("mentions", "in_id", "out_id").where("unit_id not like '%17'"))
+    return evidence.undelivered_citations(pair("mentions", "in_id", "out_id"), pair("mentions", "in_id", "out_id").where("unit_id not like '%17'"))
 
 
 def mixed_embeddings(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,10 @@ def test_every_fiftieth_record_is_a_query(spark, tmp_path, name):
     spark.createDataFrame([(i, [1.0, float(i)]) for i in range(201)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["query_id"] for r in extension_queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {str(i) if name == "cosine_top" else f"news:n{i:05}" for i in range(0, 201, 50)}
+
+
+def test_undelivered_takes_all_citations(spark, tmp_path):
+    rows = [("news:1", "entity:17"), ("news:1", "entity:17"), ("news:1", "entity:7"), ("news:2", "entity:8"), ("news:3", None)]
+    spark.createDataFrame(rows, "in_id string, out_id string").write.parquet(f"{tmp_path}/mentions.parquet")
+    got = {tuple(r) for r in extension_queries.undelivered(spark, str(tmp_path)).collect()}
+    assert got == {("news:1", "entity:17"), ("news:3", None)}
