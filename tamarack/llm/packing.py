@@ -58,15 +58,20 @@ def best_fit(sizes: Sequence[int], capacity: int) -> tuple[np.ndarray, np.ndarra
     return container, place, at
 
 
-def _targets(sums: DataFrame, total: int, mixture: Mapping[str, float] | None) -> Column:
-    """Each queue's share of a window: the one asked for, else in proportion to its tokens."""
+def _targets(sums: DataFrame, total: int, mixture: Mapping[str, float] | None) -> tuple[Column, Column]:
+    """Each queue's share of a window, the one asked for, else in proportion to its tokens; and the
+    tokens of windows that come before its first."""
     if not mixture:
-        return F.col("_all") / F.lit(float(total))
+        return F.col("_all") / F.lit(float(total)), F.lit(-1.0)
     if min(mixture.values()) <= 0 or sum(mixture.values()) > 1:
         raise ValueError("target shares are positive and sum up to 1 at most")
-    named = sums.where(F.col("_queue").isin(list(mixture))).agg(F.coalesce(F.sum("_sum"), F.lit(0))).first()[0]
-    rest = F.col("_all") * ((1 - sum(mixture.values())) / max(1, total - named))
-    return F.coalesce(*[F.when(F.col("_queue") == k, F.lit(float(v))) for k, v in mixture.items()], rest)
+    is_named = F.col("_queue").isin(list(mixture))
+    tokens = {r["_queue"]: r["_sum"] for r in sums.where(is_named).groupBy("_queue").agg(F.sum("_sum").alias("_sum")).collect()}
+    left, after = 1 - sum(mixture.values()), -1.0
+    if left < 1e-9:  # nothing is left for the others: they share the windows after the mixture's
+        left, after = 1.0, max([-1.0, *(n / mixture[q] for q, n in tokens.items())])
+    rest = F.col("_all") * (left / max(1, total - sum(tokens.values())))
+    return F.coalesce(*[F.when(F.col("_queue") == k, F.lit(float(v))) for k, v in mixture.items()], rest), F.when(is_named, -1.0).otherwise(after)
 
 
 def pack(sizes: DataFrame, specs: Mapping[str, int], mixture: Mapping[str, float] | None = None, window_containers: int = WINDOW_CONTAINERS) -> DataFrame:
@@ -79,7 +84,8 @@ def pack(sizes: DataFrame, specs: Mapping[str, int], mixture: Mapping[str, float
     (where in the container the part starts). An item without tokens is in no container: one row
     with 0 tokens and nulls. Items with a null source form a queue. ``mixture`` gives target shares of
     tokens per source while that source lasts; sources not named share the rest in proportion to
-    their tokens, as all do without it. An item occurring twice is two items with the same name.
+    their tokens, as all do without it; if the named ones take all, the others come in windows after
+    theirs. An item occurring twice is two items with the same name.
     """
     for name, capacity in specs.items():
         if capacity < 1:
@@ -96,7 +102,8 @@ def pack(sizes: DataFrame, specs: Mapping[str, int], mixture: Mapping[str, float
     chunks = queued.groupBy("_queue", "_chunk").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_queue").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("_queue", "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy("_queue")).alias("_all"), "_sum")
-    chunks = chunks.withColumn("_target", _targets(chunks, total, mixture)).drop("_sum")
+    target, after = _targets(chunks, total, mixture)
+    chunks = chunks.withColumn("_target", target).withColumn("_after", after).drop("_sum")
     running = Window.partitionBy("_queue", "_chunk").orderBy("_hash", "_item").rowsBetween(Window.unboundedPreceding, 0)
     queued = queued.join(chunks, ["_queue", "_chunk"]).withColumn("_start", F.col("_base") + F.sum("_size").over(running) - F.col("_size"))
     spec = F.explode(F.array(*[F.struct(F.lit(n).alias("spec"), F.lit(c).alias("capacity")) for n, c in specs.items()])) if specs else None
@@ -107,7 +114,8 @@ def pack(sizes: DataFrame, specs: Mapping[str, int], mixture: Mapping[str, float
     parts = parts.withColumn("_from", from_token).withColumn("_tokens", F.least(F.col("capacity").cast("long"), F.col("_size") - from_token))
     quantum = F.col("_target") * F.col("capacity") * F.lit(float(window_containers))
     phase = (F.pmod(F.xxhash64("_queue"), F.lit(1 << 20)) / F.lit(float(1 << 20))) * F.col("_tokens")
-    parts = parts.select("spec", "capacity", "_item", "_part", "_from", "_tokens", F.floor((F.col("_start") + F.col("_from") + phase) / quantum).alias("_window"))
+    first = F.when(F.col("_after") >= 0, F.floor(F.col("_after") / (F.col("capacity") * F.lit(float(window_containers)))) + 1).otherwise(0)
+    parts = parts.select("spec", "capacity", "_item", "_part", "_from", "_tokens", (first + F.floor((F.col("_start") + F.col("_from") + phase) / quantum)).alias("_window"))
 
     def fill(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["_item", "_part"], kind="stable", ignore_index=True)
