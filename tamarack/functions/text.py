@@ -28,7 +28,8 @@ def pointer_key(pointer: Column, table: str) -> Column:
     """The key of a record pointer to ``table``; null where the text is no pointer to it.
 
     Outer blanks are dropped, the part before the first colon is compared with ``table`` without
-    case, one enclosing pair of angle brackets or backticks is dropped from the key.
+    case, one enclosing pair of angle brackets or backticks is dropped from the key. A key that is
+    then empty names no record, so such a text is no pointer.
     """
     p = strip(pointer)
     colon = F.instr(p, ":")
@@ -36,14 +37,11 @@ def pointer_key(pointer: Column, table: str) -> Column:
     marks = F.concat(F.left(key, F.lit(1)), F.right(key, F.lit(1)))
     paired = (F.char_length(key) >= 2) & marks.isin("⟨⟩", "``")
     bare = F.when(paired, F.substr(key, F.lit(2), F.char_length(key) - 2)).otherwise(key)
-    return F.when((colon > 0) & (F.lower(F.left(p, colon - 1)) == table.lower()), bare)
+    return F.when((colon > 0) & (F.lower(F.left(p, colon - 1)) == table.lower()) & (bare != ""), bare)
 
 
 def pointer_key_sql(pointer: str, table: str) -> str:
-    p = strip_sql(pointer)
-    key = f"substr({p}, strpos({p}, ':') + 1)"
-    return (
-        f"case when strpos({p}, ':') > 0 and lower(substr({p}, 1, strpos({p}, ':') - 1)) = '{table.lower()}' then "
-        f"case when length({key}) >= 2 and left({key}, 1) || right({key}, 1) in ('⟨⟩', '``') "
-        f"then substr({key}, 2, length({key}) - 2) else {key} end end"
-    )
+    """The same, written from the definition of pointers and not from the expression above: one pattern per way to enclose a key."""
+    # RE2's group is the whole key, as the pattern takes the first colon; (?s) lets a key hold line breaks
+    whole = f"regexp_extract({pointer}, '(?is)^{SPACE}*{table}:(.*?){SPACE}*$', 1)"
+    return f"nullif(regexp_replace(regexp_replace({whole}, '(?s)^⟨(.*)⟩$', '\\1'), '(?s)^`(.*)`$', case when {whole} like '⟨%⟩' then '`\\1`' else '\\1' end), '')"
