@@ -67,3 +67,23 @@ def test_top_n_against_brute_force(spark):
 def test_top_n_of_empty_and_null_rows(spark):
     assert top_n(spark.createDataFrame([], ROWS), F.col("g"), "id", "s", "at", 3).count() == 0
     assert top_n(spark.createDataFrame([(None, "g", 1.0, None, 0, 0), ("a", "g", None, None, 0, 0)], ROWS), F.col("g"), "id", "s", "at", 3).count() == 0
+
+
+def test_partition_passes_on_its_best_in_bounded_memory(monkeypatch):
+    import pyarrow as pa
+
+    from tamarack.llm import topn
+
+    monkeypatch.setattr(topn, "HELD_ROWS", 50)
+    rng = random.Random(3)
+    rows = [(rng.choice("aab") if rng.random() < 0.5 else f"g{rng.randrange(40)}", f"m{i:04d}", rng.choice([0.5, rng.random()])) for i in range(2000)]
+    batches = [pa.RecordBatch.from_pylist([{"_group": g, "_item": i, "_score": s} for g, i, s in rows[a : a + 70]]) for a in range(0, 2000, 70)]
+    out = [r for b in topn._local(3)(iter(batches)) for r in b.to_pylist()]
+    for g in {g for g, _, _ in rows}:
+        best = sorted((-s, i) for h, i, s in rows if h == g)[:3]
+        kept = sorted((-r["_score"], r["_item"]) for r in out if r["_group"] == g)
+        assert kept[: len(best)] == best
+        for r in out:
+            if r["_group"] == g and r["_nth"]:
+                assert (-r["_score"], r["_item"]) >= best[2]
+    assert len(out) < len(rows)
