@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import pointer_key, pointer_key_sql, strip_sql
@@ -11,7 +11,8 @@ from tamarack.llm.packing import fill_report, pack
 from tamarack.llm.sentences import split_sentences
 from tamarack.llm.terms import term_frequency
 from tamarack.llm.topn import top_n
-from tamarack.llm.vectors import similar_vectors
+from tamarack.llm.vectors import recall_against_all, similar_vectors, usable
+from tamarack.operators.retrieval import cosine_each
 from tamarack.sources.parquet import table
 
 #: Similarity from which a pair of news records is a case.
@@ -19,11 +20,26 @@ CLOSE = 0.85
 TERM_FIELDS = {"entity.kind": ("entity", "kind"), "document.status": ("document", "status")}
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Ten for every record with a usable vector."""
+    return similar_vectors(table(spark, d, "news", "id", "emb", "loaded_at"), "id", "emb", "loaded_at", 10, 64)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = similar_vectors(table(spark, d, "news", "id", "emb", "loaded_at"), "id", "emb", "loaded_at", 10, 64, CLOSE)
+    near = p1_neighbours(spark, d).where(F.col("similarity") >= CLOSE)
     return near.select(F.least("id", "similar_id").alias("id_a"), F.greatest("id", "similar_id").alias("id_b")).distinct()
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of ``p1_neighbours``, by brute force for every record whose number is divisible by 50, against all."""
+    rows = table(spark, d, "news", "id", "emb", "loaded_at").where(F.col("id").isNotNull() & usable(F.col("emb"), 64))
+    units = rows.groupBy(F.col("id").alias("unit_id")).agg(F.max_by("emb", F.struct("loaded_at", "emb")).alias("emb"))
+    asked = units.where(F.regexp_extract("unit_id", "([0-9]+)$", 1).try_cast("bigint") % 50 == 0).select(F.col("unit_id").alias("query_id"), "emb")
+    exact = cosine_each(units, asked, 11).where("unit_id <> query_id")  # one is the query itself
+    exact = exact.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where("_i <= 10")
+    return recall_against_all(p1_neighbours(spark, d), exact, 10)
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     parts = [table(spark, d, t, "id", c).select(F.lit(field).alias("field_name"), "id", F.col(c).alias("value")) for field, (t, c) in TERM_FIELDS.items()]
     return term_frequency(parts[0].unionAll(parts[1]))
@@ -75,8 +91,8 @@ with v as (
   and len(list_filter(emb, lambda y: y is not null and isfinite(y))) = 64 and len(list_filter(emb, lambda y: y <> 0)) > 0
   qualify row_number() over (partition by id order by loaded_at desc nulls last) = 1),
 s as (select a.id as id, b.id as other, round(list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)), 6) as s from v a join v b on a.id <> b.id),
-t as (select * from s qualify row_number() over (partition by id order by s desc, other) <= 10)
-select distinct least(id, other) as id_a, greatest(id, other) as id_b from t where s >= 0.85"""
+t as (select *, row_number() over (partition by id order by s desc, other)::int as place from s qualify place <= 10)
+"""
 
 _P4 = f"""
 with piece as (
@@ -97,11 +113,12 @@ select 'news:' || key as news_id, id as mention_id, relevance, row_number() over
 from last where key is not null and relevance is not null qualify place <= 3"""
 
 SQL = {
-    "p1_found": _P1,
+    "p1_found": _P1 + "select distinct least(id, other) as id_a, greatest(id, other) as id_b from t where s >= 0.85",
+    "p1_neighbours": _P1 + "select id, other as similar_id, s as similarity, place from t",
     "p4_terms": _P4,
     "p4_found": f"select field_name, item from ({_P4}) where mark is not null",
     "p5_top": _P5,
     "p5_found": f"select news_id, mention_id from ({_P5})",
 }
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
