@@ -27,7 +27,7 @@ BREAK, KEEP = True, False
 Rule = tuple[bool, str, str]
 
 # -- marks -------------------------------------------------------------------------------------
-MARKS = ".!?…‼⁇⁈⁉。！？｡．؟।॥"
+MARKS = ".!?…‼⁇⁈⁉。！？｡．؟۔।॥։።፧፨။។៕"
 GREEK_QUESTION = ";;"
 OPENING = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "(": ")", "（": "）", "[": "]"}
 CLOSING = "”»›」』》〉】)）]"
@@ -40,8 +40,8 @@ OPENED = r"[“„«‹「『《〈【(（\[\"'‘¿¡]"
 
 # -- tables ------------------------------------------------------------------------------------
 def _words(words: str, after: str) -> Rule:
-    """Abbreviations that end no unit when ``after`` follows."""
-    return (KEEP, r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(re.escape(w) for w in sorted(words.split(), key=len, reverse=True)) + r")\.", after)
+    """Abbreviations that end no unit when ``after`` or, without a blank, a letter follows."""
+    return (KEEP, r"(?<![\p{L}\p{M}\p{N}])(?:" + "|".join(re.escape(w) for w in sorted(words.split(), key=len, reverse=True)) + r")\.", rf"(?:{after}|\p{{L}})")
 
 
 NEXT, NUMBER, NAME = r"\s", r"\s+[\p{N}(]", rf"\s+{OPENED}?\p{{Lu}}"
@@ -119,16 +119,18 @@ THAI: list[Rule] = [
 ]
 LAST: list[Rule] = [
     (BREAK, rf"[。！？｡]+[.!?…]*{CLOSED}", ""),
+    (BREAK, rf"[؟۔।॥።፧፨။។៕]+{CLOSED}", r"\p{L}"),  # the blank is missing, or the script has none
+    (BREAK, rf"\p{{L}}\p{{Ll}}[.!?։]+{CLOSED}", rf"{OPENED}?\p{{Lu}}[\p{{Ll}}'’]"),  # the blank is missing
     (BREAK, "", r"\s"),
     (KEEP, "", ""),
 ]
 LATIN = {"en": EN, "de": DE, "fr": FR, "es": ES}
-#: Common words that tell the languages in Latin letters apart.
+#: Function words of each language, as stop word lists have them.
 COMMON = {
-    "en": "the of and to in is for at with on by near since doesn't after during this that it said",
-    "de": "der die das und ist nicht mit am im in dem den zum zur von ab seit nach auf während ein eine sagte",
-    "fr": "le la les l de des du et est ne pas dans pour à avec sans sur une un après pendant près dit",
-    "es": "el la los las de y no en con por para del una un tras desde durante cerca hoy dijo se",
+    "en": "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been have has had do does did doesn't don't a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very can will just should now since near said",
+    "de": "aber alle als also am an auch auf aus bei bin bis bist da damit dann das dass dem den der des die dies dieser doch dort du durch ein eine einem einen einer er es für gegen hat hatte hier hinter ich ihr im in ist ja jede jetzt kann kein keine mit nach nicht noch nun nur ob oder ohne seit sehr sein sich sie sind so über um und uns unter vom von vor war was wenn werden wie wieder wird während zu zum zur sagte",
+    "fr": "au aux avec ce ces cette dans de des du elle elles en est et il ils je la le les leur lui mais même ne nos notre nous on ou où par pas pour plus qu que qui sa sans se ses son sont sous sur te toi ton tu un une vers vos votre vous c d j l à m n s t y été être avant après depuis pendant chez dit",
+    "es": "al algo ante antes aquí así aunque como con contra cuando de del desde donde durante el él ella ellos en entre era es esa ese eso esta este esto está fue ha hasta hay hoy la las le les lo los más me mi muy nada ni no nos o otra otro para pero poco por porque que quien se sea ser si sí sin sobre son su sus también tan tiene todo tras un una y ya yo cerca dijo",
 }
 CASCADES: dict[str, list[Rule]] = {
     **{k: FIRST + CASED + v + LAST for k, v in LATIN.items()},
@@ -139,8 +141,11 @@ CASCADES: dict[str, list[Rule]] = {
     "th": FIRST[:1] + FIRST[2:] + THAI,
     "wide": FIRST + WIDE,
     "other": FIRST + CASED + LAST,
+    "uncased": FIRST + LAST,
 }
-CASELESS = {"ar", "hi", "wide", "th"}
+CASELESS = {"ar", "hi", "wide", "th", "uncased"}
+#: Words of a paragraph in Latin letters from which on it must have a common one, else no language's abbreviations hold.
+WORDS = 12
 SCRIPTS = {"wide": r"[\p{Han}\p{Hiragana}\p{Katakana}]", "th": r"\p{Thai}", "hi": r"\p{Devanagari}", "ar": r"\p{Arabic}", "ru": r"\p{Cyrillic}", "el": r"\p{Greek}"}
 
 
@@ -159,6 +164,7 @@ def _positions(language: str) -> re.Pattern:
 
 _script = {k: re.compile(v + "+") for k, v in SCRIPTS.items()}
 _latin, _beyond_latin = re.compile(r"\p{Latin}+"), re.compile("[Ͱ-\U0010ffff--[Ḁ-↏]]", re.V1)
+_letters, _small = re.compile(r"\p{L}+"), re.compile(r"(?!\p{Latin})\p{Ll}")
 _word = re.compile(r"\p{L}+(?:'t)?")
 _common = {k: frozenset(v.split()) for k, v in COMMON.items()}
 _space, _line = re.compile(r"\s+"), re.compile(LINE)
@@ -168,43 +174,58 @@ _goes_on_caseless = re.compile(rf"{BLANK}*(?:{LINE}{BLANK}*)?(?:[\p{{L}}\p{{N}}]
 
 
 def language_of(text: str) -> str:
-    """The table for a paragraph: a language, ``wide`` for Chinese and Japanese, or ``other``."""
+    """The table for a paragraph: a language, ``wide`` for Chinese and Japanese, ``uncased`` for other scripts without small letters, or ``other``."""
     if _beyond_latin.search(text):
         counts = {k: sum(map(len, p.findall(text))) for k, p in _script.items()}
+        rest = sum(map(len, _letters.findall(text))) - sum(counts.values())
+        latin = sum(map(len, _latin.findall(text)))
         best = max(counts, key=counts.__getitem__)
+        if rest - latin > max(counts[best], latin):
+            return "other" if _small.search(text) else "uncased"
         # a sign of a syllable or word weighs about three letters
-        if counts[best] * (3 if best == "wide" else 1) > sum(map(len, _latin.findall(text))):
+        if counts[best] * (3 if best == "wide" else 1) > latin:
             return best
     words = [w.lower() for w in _word.findall(text)]
     scores = {k: sum(w in common for w in words) for k, common in _common.items()}
     best = max(scores, key=scores.__getitem__)
-    return best if scores[best] else "en"
+    return best if scores[best] else "en" if len(words) < WORDS else "other"
 
 
-def _spans(text: str, start: int, end: int, caseless: bool) -> tuple[set[int], list[tuple[int, int]]]:
-    """Places of closing marks, and ranges inside which nothing breaks, ascending and apart."""
+#: Marks that a mark may close.
+_closes = {c: [o for o, of in OPENING.items() if c in of] for c in CLOSING + "“"} | {'"': ['"']}
+
+
+def _spans(text: str, caseless: bool) -> tuple[set[int], list[tuple[int, int]]]:
+    """Places of closing marks, and ranges inside which nothing breaks, ascending and apart.
+
+    A mark closes the last open one of its kind and drops what was opened since. Every mark is opened and
+    dropped once, so a text of nothing but marks takes linear time.
+    """
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # per opening mark, where it is in the stack
     closing: set[int] = set()
     kept: list[tuple[int, int]] = []
     goes_on = _goes_on_caseless if caseless else _goes_on
-    for m in _pair.finditer(text, start, end):
+    for m in _pair.finditer(text):
         c, i = m.group(), m.start()
         if c == '"':
-            is_closing = any(o == '"' for o, _ in stack)
+            is_closing = bool(places.get('"'))
         elif c == "“":
             is_closing = bool(stack) and stack[-1][0] == "„"
         else:
             is_closing = c in CLOSING
         if not is_closing:
+            places.setdefault(c, []).append(len(stack))
             stack.append((c, i))
             continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if c in OPENING.get(stack[k][0], stack[k][0])), -1)
+        k = max((places[o][-1] for o in _closes[c] if places.get(o)), default=-1)
         if k < 0:
             continue
         closing.add(i)
         opened = stack[k][1]
-        del stack[k:]
-        if goes_on.match(text, i + 1, end):
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+        if goes_on.match(text, i + 1):
             while kept and kept[-1][0] > opened:
                 kept.pop()
             kept.append((opened, i + 1))
@@ -240,7 +261,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         paragraph = text[start:end]  # so that the rules' \A is its beginning
         language = language_of(paragraph)
         rules, breaks = _cascade(language)
-        closing, kept = _spans(paragraph, 0, len(paragraph), language in CASELESS)
+        closing, kept = _spans(paragraph, language in CASELESS)
         begins = [a for a, _ in kept]
         from_ = 0
         for m in _positions(language).finditer(paragraph):

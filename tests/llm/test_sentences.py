@@ -66,3 +66,34 @@ def test_table(spark):
     got = sorted(split_sentences(df, "doc_id", "text").collect(), key=repr)
     assert [tuple(r) for r in got] == sorted([(1, 0, 4), (1, 5, 9), (1, 0, 4), (None, 0, 1)], key=lambda r: f"Row(doc_id={r[0]}, start_char={r[1]}, end_char={r[2]})")
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_marks_alone_take_linear_time():
+    for text in ("(" * 200_000 + '"' * 200_000, '"(' * 100_000, "„" * 100_000 + "“”" * 100_000, "([{«" * 50_000 + "»" * 100_000, "(“" * 100_000 + ")" * 200_000):
+        assert sentences(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("The crew met at the river.The editor left.", 2),
+        ("Der Rat wartet seit Montag.Die Stadt auch.", 2),
+        ("Redaktion von Prof.Lirbek wartet auf plan_3.v2.pdf im Tor.", 1),
+        ("Il attend.L'étude bouge.", 2),
+        ("ሰላም ነው። ደህና ነው፧ አዎ።", 3),  # Ethiopic
+        ("ខ្ញុំទៅ។ គាត់មក។", 2),  # Khmer
+        ("သူသွားသည်။ ငါလာသည်။", 2),  # Burmese
+        ("Սա մեկն է։ Սա երկուսն է։", 2),  # Armenian
+        ("זה משפט ראשון. זה משפט שני?", 2),  # Hebrew
+        ("이것은 문장이다. 저것은 문장인가? 네.", 3),  # Korean
+        ("یہ پہلا جملہ ہے۔ یہ دوسرا ہے۔", 2),  # Urdu
+    ],
+)
+def test_glued_sentences_and_further_scripts(text, units):
+    assert len(sentences(text)) == units
+
+
+def test_languages_without_table():
+    assert language_of("זה משפט ראשון") == language_of("이것은 문장이다") == language_of("ሰላም ነው") == "uncased"
+    assert language_of("Սա մեկն է") == "other"
+    assert language_of("Wszyscy ludzie rodzą wolni równi pod względem swej godności praw Są obdarzeni rozumem") == "other"
