@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarack.functions.text import SPACE, pointer_key_sql
-from tamarack.operators.quality import TextColumn, TimeColumn, faults, profile
+from tamarack.operators.quality import TextColumn, TimeColumn, columns_of, expressions, faults, profile
 from tamarack.operators.references import orphan_references, orphan_report
 from tamarack.sources.parquet import table
 
@@ -29,16 +30,31 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-def _assessment(spark: SparkSession, d: str) -> DataFrame:
-    return profile(table(spark, d, "technical_assessment", "status", "issued_at", "load_id", "loaded_at"), ASSESSMENT)
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return faults(_assessment(spark, d), pattern=["status"], value_range=["issued_at"], distinct=["issued_at"])
+    profiled = profile(table(spark, d, "technical_assessment", "status", "issued_at", "load_id", "loaded_at"), ASSESSMENT)
+    return faults(profiled, pattern=["status"], value_range=["issued_at"], distinct=["issued_at"])
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _assessment(spark, d)
+    """Every column but the load's own, as the kind that fits it. What hangs on the induced expressions is in ``p3_coverage``."""
+    rows = table(spark, d, "technical_assessment")
+    columns = [TextColumn("status", ("current", "revoked")), *columns_of(rows, ("status", "load_id", "loaded_at"))]
+    return profile(rows, columns).drop("expression", "n_nonconforming", "before_conforming")
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Values of ``code`` and ``issued_at``, which have no vocabulary, beyond their expressions, by load and against the load before."""
+    rows = table(spark, d, "technical_assessment", "code", "issued_at", "load_id", "loaded_at")
+    profiled = profile(rows, [TextColumn("code"), TimeColumn("issued_at")])
+    changed = faults(profiled, [], [], [], ["code", "issued_at"]).where("check_name = 'coverage'").select("load_id", "field_name", F.lit(True).alias("changed"))
+    covered = profiled.select("load_id", "field_name", (F.col("n_rows") - F.col("n_null")).alias("n_values"), "n_nonconforming", "before_conforming")
+    return covered.join(changed, ["load_id", "field_name"], "left").fillna(False, ["changed"])
+
+
+def p3_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """The induced expressions of all columns. They have no twin: SQL has no minimum description length."""
+    rows = table(spark, d, "technical_assessment")
+    return expressions(rows, [TextColumn("status", ("current", "revoked")), *columns_of(rows, ("status", "load_id", "loaded_at"))])
 
 
 def _p2_sql(result: str) -> str:
@@ -62,17 +78,27 @@ orphan as (select id, side, tbl, min(first) as first, min(reason) as reason from
 {result}"""
 
 
-_NULL_STATUS = f"(status is null or regexp_full_match(status, '{SPACE}*'))"
-_P3 = f"""
+def _null(c: str) -> str:
+    return f"({c} is null or regexp_full_match({c}, '{SPACE}*'))"
+
+
+def _text_rows(c: str, odd: str = "null") -> str:
+    value = f"case when not {_null(c)} then {c} end"
+    return f"select load_id, '{c}' as field_name, {value} as value, {value} as cell, case when {value} is null then 0 else {odd} end as odd, 0 as outside from technical_assessment"
+
+
+def _p3_sql(*texts: str) -> str:
+    """Figures per load of ``status``, ``issued_at`` and further text columns."""
+    return f"""
 with r as (
-  select load_id, 'status' as field_name, case when not {_NULL_STATUS} then status end as value, case when not {_NULL_STATUS} then status end as cell,
-    case when not {_NULL_STATUS} and status not in ('current', 'revoked') then 1 else 0 end as odd, 0 as outside from technical_assessment
+  {_text_rows('status', "case when status not in ('current', 'revoked') then 1 else 0 end")}
+  {''.join(f"union all {_text_rows(c)} " for c in texts)}
   union all
   select load_id, 'issued_at', strftime(issued_at, '%Y-%m-%d %H:%M:%S.%f'), case when issued_at is null then null when issued_at > loaded_at then 'after'
       when loaded_at - issued_at < interval 30 day then '0' when loaded_at - issued_at < interval 180 day then '30' else '180' end,
-    0, case when issued_at > loaded_at or issued_at < timestamp '1990-01-01' then 1 else 0 end from technical_assessment),
+    null, case when issued_at > loaded_at or issued_at < timestamp '1990-01-01' then 1 else 0 end from technical_assessment),
 load as (
-  select load_id, field_name, count(*) as n, count(*) - count(value) as nulls, count(distinct value) as d, min(value) as lowest, max(value) as highest, sum(odd) as odd, sum(outside) as outside from r group by 1, 2),
+  select load_id, field_name, count(*) as n, count(*) - count(value) as nulls, count(distinct value) as d, min(value) as lowest, max(value) as highest, case when field_name = 'status' then sum(odd) end as odd, sum(outside) as outside from r group by 1, 2),
 l as (select *, lag(n) over w as n0, lag(nulls) over w as nulls0, lag(load_id) over w as before, lead(load_id) over w as after from load window w as (partition by field_name order by load_id)),
 share as (
   select r.load_id, r.field_name, r.cell, l.after, count(*) / (l.n - l.nulls) as s from r join l using (load_id, field_name) where r.cell is not null group by r.load_id, r.field_name, r.cell, l.after, l.n, l.nulls),
@@ -83,16 +109,27 @@ moved as (
     group by 1, 2, 3) group by 1, 2)
 """
 
+
+#: Columns without vocabulary have one way to be written here, so what their expression must cover is the commonest mask.
+_COVERAGE = """
+with v as (
+  select load_id, 'code' as field_name, code as value from technical_assessment union all select load_id, 'issued_at', issued_at::varchar from technical_assessment),
+m as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[.][0-9]+$', ''), '\p{Ll}', 'a', 'g'), '\p{Lu}', 'A', 'g'), '\p{Nd}', '9', 'g') as mask from v),
+common as (select field_name, mode(mask) as mask from m group by 1),
+l as (select load_id, field_name, count(value) as n, count_if(m.mask <> common.mask)::bigint as odd from m join common using (field_name) group by 1, 2),
+b as (select *, lag(n) over w as n0, lag(odd) over w as odd0 from l window w as (partition by field_name order by load_id))
+select load_id, field_name, n as n_values, odd as n_nonconforming, n0 - odd0 as before_conforming, coalesce(abs((n - odd) * n0 - (n0 - odd0) * n) * 10 > n * n0, false) as changed from b"""
+
 SQL = {
     "p2_found": _p2_sql("select id as mention_id, side from orphan"),
     "p2_report": _p2_sql("select tbl as \"table\", strftime(first, '%Y-%m') as month, reason, count(*) as n from orphan group by 1, 2, 3"),
-    "p3_profile": _P3
-    + r"""
-select load_id, field_name, n as n_rows, nulls as n_null, d as n_distinct, lowest, highest, outside::bigint as n_outside,
-  case field_name when 'status' then '\A(?:current|revoked)\z' else '\A(?:\p{Nd}{4}\-\p{Nd}{2}\-\p{Nd}{2}\ \p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}\.\p{Nd}{6})\z' end as expression,
-  odd::bigint as n_nonconforming, before as before_load_id, n0 as before_rows, nulls0 as before_null, (n0 - nulls0 - odd0)::bigint as before_covered, case when before is not null then coalesce(moved, 0) end as moved
-from (select *, lag(odd) over (partition by field_name order by load_id) as odd0 from l) left join moved using (load_id, field_name)""",
-    "p3_found": _P3
+    "p3_profile": _p3_sql("id", "code", "body_text")
+    + """
+select load_id, field_name, n as n_rows, nulls as n_null, d as n_distinct, lowest, highest, outside::bigint as n_outside, odd::bigint as n_unlisted,
+  before as before_load_id, n0 as before_rows, nulls0 as before_null, case when before is not null then coalesce(moved, 0) end as moved
+from l left join moved using (load_id, field_name)""",
+    "p3_coverage": _COVERAGE,
+    "p3_found": _p3_sql()
     + """
 select load_id, field_name, 'null_rate' as check_name from l where abs(nulls * n0 - nulls0 * n) * 100 > n * n0 * 10
 union all select load_id, field_name, 'distribution' from l join moved using (load_id, field_name) where before is not null and moved > 0.25
@@ -101,4 +138,4 @@ union all select load_id, field_name, 'value_range' from l where field_name = 'i
 union all select load_id, field_name, 'distinct' from l where field_name = 'issued_at' and d * 100 < (n - nulls) * 60""",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_profile": p3_profile}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_profile": p3_profile, "p3_coverage": p3_coverage, "p3_expressions": p3_expressions}
