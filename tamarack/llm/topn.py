@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tamarack.plans.scale import cut_lineage, ship_code
 
 #: Groups whose bound is broadcast, at most: those of which the partitions kept the most rows.
-MOST_BOUNDS = 16_384
+MOST_BOUNDS = 4_096
 #: Rows that a partition holds before it passes on the best so far; a bound of some rows is as valid as one of all.
 HELD_ROWS = 500_000
 
