@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.text import pointer_key, pointer_key_sql, strip_sql
 from tamarack.llm.bpe import count_tokens, encode_corpus
-from tamarack.llm.packing import fill_report, pack
+from tamarack.llm.packing import fill_report, mixture_report, pack, windows
 from tamarack.llm.sentences import split_sentences
 from tamarack.llm.terms import term_frequency
 from tamarack.llm.topn import top_n
@@ -17,6 +17,8 @@ from tamarack.sources.parquet import table
 
 #: Similarity from which a pair of news records is a case.
 CLOSE = 0.85
+#: Shares of tokens that sources have while they last, and the power of their tokens in proportion to which the others share the rest of a report's windows.
+MIXTURE, TEMPERATURE = {"minutes-main": 0.15}, 0.7
 TERM_FIELDS = {"entity.kind": ("entity", "kind"), "document.status": ("document", "status")}
 
 
@@ -67,10 +69,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def _specs(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r["spec"]: r["capacity"] for r in table(spark, d, "pack_spec", "spec", "capacity").collect()}  # a fixed few
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     counts = count_tokens(table(spark, d, "documents", "doc_id", "source", "text"), ["doc_id", "source"], "text")
-    specs = {r["spec"]: r["capacity"] for r in table(spark, d, "pack_spec", "spec", "capacity").collect()}  # a fixed few
-    return pack(counts.withColumnsRenamed({"doc_id": "item", "n_tokens": "size"}), specs)
+    return pack(counts.withColumnsRenamed({"doc_id": "item", "n_tokens": "size"}), _specs(spark, d), MIXTURE)
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +86,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual tokens per window and source, and the credit carried on.
+
+    Here a text's size is its length in characters, which SQL knows as well, and a window has 8 containers, so that there are many.
+    """
+    sizes = table(spark, d, "documents", "doc_id", "source", "n_chars").withColumnsRenamed({"doc_id": "item", "n_chars": "size"})
+    return mixture_report(windows(sizes, _specs(spark, d), MIXTURE, TEMPERATURE, 8))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -112,7 +126,20 @@ with last as (
 select 'news:' || key as news_id, id as mention_id, relevance, row_number() over (partition by key order by relevance desc, id)::int as place
 from last where key is not null and relevance is not null qualify place <= 3"""
 
+_P7 = f"""
+with item as (select doc_id as item, coalesce(source, '') as q, n_chars as size, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h from documents where n_chars > 0),
+queued as (select *, sum(size) over (partition by q order by h, item rows unbounded preceding) - size as start from item),
+queue as (select q, sum(size)::double as total, max(size) as most, (('0x' || substr(md5(q), 1, 15))::bigint % 1048576) / 1048576.0::double as begins from item group by 1),
+share as (select q, most, begins, case when q = 'minutes-main' then 0.15::double else pow(total, {TEMPERATURE}) * ({1 - 0.15!r}::double / (select sum(pow(total, {TEMPERATURE})) from queue where q <> 'minutes-main')) end as share from queue),
+part as (
+  select spec, capacity, q, start + part * capacity as before, least(capacity, size - part * capacity) as tokens, share * (capacity * 8.0::double) as quantum, begins * least(capacity, most) as credit
+  from (select *, unnest(range(0, (size - 1) // capacity + 1)) as part from queued, pack_spec) join share using (q)),
+sent as (select spec, greatest(ceil((before + tokens - credit) / quantum) - 1, 0)::bigint as window_no, q as source, quantum, credit, sum(tokens)::bigint as tokens from part group by all)
+select spec, window_no, source, round(quantum, 3) as target, tokens,
+  round(credit + (window_no + 1) * quantum - sum(tokens) over (partition by spec, source order by window_no rows unbounded preceding), 3) as carried from sent"""
+
 SQL = {
+    "p7_mixture": _P7,
     "p1_found": _P1 + "select distinct least(id, other) as id_a, greatest(id, other) as id_b from t where s >= 0.85",
     "p1_neighbours": _P1 + "select id, other as similar_id, s as similarity, place from t",
     "p4_terms": _P4,
@@ -121,4 +148,4 @@ SQL = {
     "p5_found": f"select news_id, mention_id from ({_P5})",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_top": p5_top, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p7_mixture": p7_mixture, "p8_found": p8_found}

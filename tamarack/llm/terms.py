@@ -1,24 +1,35 @@
 """Frequency of every term: occurrences, and records that hold it.
 
-The layout is vertical: per term, the records that hold it are bits of a bitmap. Records get dense
-numbers within hash buckets of their ids, so neighbouring words fill up; a bitmap is stored as its
-64-bit words that are not zero, keyed by ``(term, bucket, word number)`` -- one word for a term in
-one record, a 64th of the records for a term in all of them. Words merge by bitwise or, next to
-the sum of an occurrence counter, so partial bitmaps meet before any exchange; document frequency
-is the number of bits set.
+The layout is vertical: per term, the records that hold it are a bitmap. Records meet their rows in
+one exchange and get dense numbers where they arrive, so no dictionary of ids is built. A
+partition sets the bits of each block of its records and compresses them term by term: a container of a
+block lists the places of a rare term's records and has a bit for every record else. Rows of a record that
+repeat a term set the same bit, so bits merge by union; blocks have no record in common, so document
+frequency is the sum of the containers' cardinalities. Occurrences are counted in parallel, from
+all rows, and combined before their exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import strip
-from tamarack.plans.scale import cut_lineage, shuffle_parts
+from tamarack.plans.scale import cut_lineage, ship_code
 
 SEPARATORS = "[;,/|]"
 #: A term is too rare in fewer records than this, too common in more than this share of the records with any term.
 FEWEST_RECORDS, LARGEST_SHARE = 3, (4, 10)
+#: Records of a block, and from how many of them on a container has a bit for each; the size of both kinds is then equal.
+BLOCK, LISTED = 65_536, 4096
+
+BITMAPS = "field_name string, item string, block long, container binary, cardinality int"
 
 
 def terms_of(value: Column) -> Column:
@@ -26,30 +37,98 @@ def terms_of(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, SEPARATORS, -1), lambda x: F.lower(strip(x))), lambda x: x != "")
 
 
+def container_of(places: np.ndarray) -> bytes:
+    """A container of ascending distinct places in a block: ``L`` and 16 bits for each, or if they are many ``B`` and a bit for every place of the block."""
+    if len(places) <= LISTED:
+        return b"L" + places.astype("<u2").tobytes()
+    bits = np.zeros(BLOCK, np.uint8)
+    bits[places] = 1
+    return b"B" + np.packbits(bits).tobytes()
+
+
+def places_of(container: bytes) -> np.ndarray:
+    """The places in a container."""
+    if container[:1] == b"L":
+        return np.frombuffer(container, "<u2", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(container, np.uint8, offset=1)))
+
+
+class _Block:
+    """The bits of a block's records, by field and term."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str | None], int] = {}
+        self.codes: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+
+    def set(self, fields: pa.Array, items: pa.Array, first: int) -> None:
+        """Records from place ``first`` on: a field and a list of terms each."""
+        n = pc.list_value_length(items).to_numpy(zero_copy_only=False)
+        place = np.repeat(np.arange(first, first + len(n)), n)
+        fields, terms = fields.dictionary_encode(), items.flatten().dictionary_encode()
+        field, term = np.repeat(fields.indices.to_numpy(), n).astype(np.int64), terms.indices.to_numpy()
+        names = terms.dictionary.to_pylist()
+        pair, of = np.unique(field * max(1, len(names)) + term, return_inverse=True)
+        field_names = fields.dictionary.to_pylist()
+        code = np.array([self._code(field_names[p // len(names)], names[p % len(names)]) for p in pair.tolist()], np.int64)
+        any_ = np.array([self._code(f, None) for f in field_names], np.int64)
+        self.codes += [code[of] if len(of) else of, any_[field]]  # the second is the union over all terms
+        self.places += [place, place]
+
+    def _code(self, field: str, item: str | None) -> int:
+        return self.known.setdefault((field, item), len(self.known))
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        bits = np.unique(np.concatenate(self.codes) * BLOCK + np.concatenate(self.places)) if self.codes else np.empty(0, np.int64)
+        code, place = bits // BLOCK, bits % BLOCK
+        starts = np.flatnonzero(np.r_[True, np.diff(code) > 0]) if len(code) else np.empty(0, np.int64)
+        ends, names = np.r_[starts[1:], len(code)], list(self.known)
+        held = [names[c] for c in code[starts].tolist()]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([f for f, _ in held], pa.string()), pa.array([i for _, i in held], pa.string()), pa.array(np.full(len(held), block), pa.int64()),
+                pa.array([container_of(place[a:z]) for a, z in zip(starts, ends, strict=True)] if len(starts) else [], pa.binary()), pa.array((ends - starts if len(starts) else starts).astype(np.int32)),
+            ],
+            names=["field_name", "item", "block", "container", "cardinality"],
+        )
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records, each in one row, to the containers of the partition's blocks."""
+    number, block, part = 0, _Block(), TaskContext.get().partitionId() if TaskContext.get() else 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            some = b.slice(at, min(b.num_rows - at, BLOCK - number % BLOCK))
+            block.set(some.column(0), some.column(1), number % BLOCK)
+            at, number = at + some.num_rows, number + some.num_rows
+            if number % BLOCK == 0:
+                yield block.rows((part << 32) + (number - 1) // BLOCK)
+                block = _Block()
+    if number % BLOCK:
+        yield block.rows((part << 32) + number // BLOCK)
+
+
 def term_bitmaps(values: DataFrame) -> DataFrame:
-    """``(field_name, item, bucket, word_no, bits, occurrences)`` of ``values(field_name, id, value)``.
+    """``(field_name, item, block, container, cardinality)`` of ``values(field_name, id, value)``.
 
     Rows with a null ``item`` are the union over all terms of the field. Null and blank values hold
-    no term. A row without id is no record: it counts in ``occurrences`` and sets no bit.
+    no term. A row without id is no record and sets no bit. The distinct values of one record meet in one task.
     """
-    pieces = values.select("field_name", "id", F.explode(terms_of(F.col("value"))).alias("item"))
-    postings = pieces.groupBy("field_name", "id", "item").agg(F.count("*").alias("_n"))
-    buckets = shuffle_parts(values, 1)
-    numbered = postings.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).withColumn(
-        "_number", F.dense_rank().over(Window.partitionBy("field_name", "bucket").orderBy("id")) - 1
-    )
-    bit = F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, _number & 63)"))
-    words = numbered.select("field_name", "item", "bucket", F.expr("shiftright(_number, 6)").alias("word_no"), bit.alias("_bit"), "_n")
-    merged = words.groupingSets([["field_name", "bucket", "word_no", "item"], ["field_name", "bucket", "word_no"]], "field_name", "bucket", "word_no", "item")
-    return merged.agg(F.bit_or("_bit").alias("bits"), F.sum("_n").alias("occurrences")).select("field_name", "item", "bucket", "word_no", "bits", "occurrences")
+    ship_code(values.sparkSession)
+    terms = terms_of(F.col("value"))
+    records = values.where(F.col("id").isNotNull() & (F.size(terms) > 0)).groupBy("field_name", "id").agg(F.flatten(F.collect_set(terms)).alias("items"))
+    return records.select("field_name", "items").mapInArrow(_bitmaps, BITMAPS)
 
 
 def term_frequency(values: DataFrame) -> DataFrame:
     """``(field_name, item, occurrences, records, mark)``; mark is ``too rare``, ``too common`` or null.
 
-    No values, or none with a term, give an empty result.
+    A row without id counts in ``occurrences`` only. No values, or none with a term, give an empty result.
     """
-    counts = term_bitmaps(values).groupBy("field_name", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum(F.bit_count("bits")).cast("long").alias("records"))
+    held = term_bitmaps(values).select("field_name", "item", F.lit(0).cast("long").alias("occurrences"), F.col("cardinality").cast("long").alias("records"))
+    pieces = values.select("field_name", F.explode(terms_of(F.col("value"))).alias("item"), F.lit(1).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("records"))
+    counts = held.unionAll(pieces).groupBy("field_name", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     counts = cut_lineage(counts)  # one row per term
     totals = {r["field_name"]: r["records"] for r in counts.where(F.col("item").isNull()).collect()}  # one row per field
     total = F.coalesce(*[F.when(F.col("field_name") == k, F.lit(n)) for k, n in totals.items()], F.lit(0))

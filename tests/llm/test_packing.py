@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamarack.llm.packing import best_fit, fill_report, pack
+from tamarack.llm import packing
+from tamarack.llm.packing import best_fit, fill_report, mixture_report, pack, windows
 
 
 @settings(max_examples=200, deadline=None)
@@ -88,3 +89,31 @@ def test_empty_and_wrong_input(spark):
 def test_repeated_rows_are_items_of_their_own(spark):
     got = pack(rows(spark, [(1, "s", 5, "", 0)] * 2), {"a": 10}).collect()
     assert sorted(r["at_token"] for r in got) == [0, 5]
+
+
+def test_credit_is_carried_and_never_negative(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_ITEMS", 50)  # sums go over many chunks
+    rng = random.Random(5)
+    data = [(i, rng.choice(["x", "x", "y", "z", None]), rng.choice([0, 400, *range(1, 90)]), "", 0) for i in range(3000)]
+    for mixture, temperature in ((None, 1.0), ({"x": 0.2, "": 0.3}, 0.5), ({"x": 0.5, "y": 0.5}, 1.0)):
+        placed = windows(rows(spark, data), {"a": 100}, mixture, temperature, 20).cache()
+        report = mixture_report(placed).collect()
+        last = {}
+        for r in sorted(report, key=lambda r: r["window_no"]):
+            assert r["carried"] >= -0.001
+            last[r["source"]] = r
+        for source, r in last.items():
+            assert sum(x["tokens"] for x in report if x["source"] == source) == sum(n for _, s, n, *_ in data if (s or "") == source)
+            inner = [x for x in report if x["source"] == source and 0 < x["window_no"] < r["window_no"]]
+            assert all(x["carried"] <= 100 + x["target"] for x in inner)  # what waits is less than an item
+            assert all(abs(x["tokens"] - x["target"]) <= 100 for x in inner)
+        got = pack(rows(spark, data), {"a": 100}, mixture, 20, temperature).where("tokens > 0").select("item", "part", "source", "window_no", "tokens")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, placed.select(got.columns).collect()))
+    shares = {r["source"]: r["target"] / 2000 for r in report}
+    assert shares["x"] == shares["y"] == 0.5 and min(r["window_no"] for r in report if r["source"] in ("z", "")) > max(r["window_no"] for r in report if r["source"] in ("x", "y"))
+
+
+def test_temperature_lifts_small_sources(spark):
+    placed = windows(rows(spark, [(i, "big" if i % 10 else "small", 10, "", 0) for i in range(9000)]), {"a": 100}, None, 0.5, 10)
+    share = {r["source"]: r["target"] / 1000 for r in mixture_report(placed).collect()}
+    assert abs(share["small"] - 0.25) < 1e-6 and abs(share["big"] - 0.75) < 1e-6

@@ -4,7 +4,7 @@ from datetime import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tamarack.llm.terms import term_bitmaps, term_frequency
+from tamarack.llm.terms import places_of, term_bitmaps, term_frequency
 from tamarack.llm.topn import top_n
 
 VALUES = "field_name string, id string, value string, item string, bucket int, _n int"
@@ -29,12 +29,28 @@ def test_terms_against_brute_force(spark):
     assert got == expected
 
 
-def test_bitmaps_are_words_that_are_not_empty(spark):
-    df = spark.createDataFrame([("f", f"r{i}", "a;b" if i % 100 == 0 else "a", "", 0, 0) for i in range(1000)], VALUES)
-    words = term_bitmaps(df)
-    n = {r["item"]: r["n"] for r in words.groupBy("item").agg(F.count("*").alias("n")).collect()}
-    assert n["b"] <= 10 and n["a"] == n[None] <= 4 * 2 + 1000 / 64 + 4
-    assert words.where("bits = 0").count() == 0
+def test_containers_are_compressed_and_hold_each_record_once(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("f").alias("field_name"), F.concat(F.lit("r"), "id").alias("id"), F.when(F.col("id") % 1000 == 0, "a;b").otherwise("a").alias("value"), F.lit("").alias("item"))
+    rows = term_bitmaps(df.unionAll(df)).collect()
+    by_item = {i: [r for r in rows if r["item"] == i] for i in ("a", "b", None)}
+    for item, records in (("a", n), ("b", 200), (None, n)):
+        assert sum(r["cardinality"] for r in by_item[item]) == records
+        assert len({r["block"] for r in by_item[item]}) == len(by_item[item])
+        for r in by_item[item]:
+            places = places_of(r["container"])
+            assert len(places) == r["cardinality"] and (len(places) < 2 or (places[1:] > places[:-1]).all())
+    assert sum(len(r["container"]) for r in by_item["b"]) <= 2 * 200 + len(by_item["b"])
+    assert all(len(r["container"]) <= 8193 for r in rows)
+
+
+def test_container_of_any_number_of_places():
+    import numpy as np
+
+    from tamarack.llm.terms import BLOCK, LISTED, container_of
+
+    for places in (np.arange(0), np.array([7]), np.arange(LISTED) * 3, np.arange(LISTED + 1) * 5, np.arange(BLOCK)):
+        assert (places_of(container_of(places)) == places).all()
 
 
 def test_terms_of_empty_table(spark):
