@@ -4,22 +4,27 @@
 key space, co-partitions and sorts both, and merges the two sorted streams once (a sort-merge
 join). A parent key carries its validity interval -- first load, and removal if one is later than
 the last load -- which tells a missing target from a removed one and from one that came later.
+What the merge says about a reference's deliveries is then combined by the reference's id, in sums of
+fixed size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import pointer_key
-from tamarack.plans.scale import salt
+from tamarack.plans.scale import salt, shuffle_parts
 
-#: Ways in which the references to one key are split; its parent row is repeated as often.
-WAYS = 4
-#: Ways over which unreadable pointers spread.
+#: Why a reference is an orphan; the first that holds for any of its pointers stands.
+REASONS = ("unreadable", "missing", "removed", "late")
+#: References that heavy keys are looked for in, about, and the share of them from which a key is heavy.
+SAMPLE, HEAVY = 200_000, 0.01
+#: Ways over which what can't be read spreads.
 UNREAD_WAYS = 1024
 
 
@@ -48,49 +53,63 @@ def at_type(df: DataFrame) -> str:
     return dict(df.dtypes)["loaded_at"]
 
 
+def _ways(keys: DataFrame, parts: int) -> Column:
+    """Ways in which the references to a key are split, and its parent row repeated: 1, but for heavy keys as many as they fill partitions.
+
+    Heavy keys are found in a sample, ``1 / HEAVY`` of them at most. It decides where rows go, not what comes out.
+    """
+    n = max(1, keys.count())
+    sampled = keys.where(F.col("_key").isNotNull()).sample(min(1.0, SAMPLE / n), seed=0).groupBy("_table", "_key").agg(F.count("*").alias("n"))
+    share = F.col("n") / min(n, SAMPLE)
+    heavy = sampled.where(share >= max(HEAVY, 1 / parts)).select("_table", "_key", share.alias("share")).collect()
+    ways = F.lit(1)
+    for r in heavy:
+        ways = F.when((F.col("_table") == r["_table"]) & (F.col("_key") == r["_key"]), min(1024, math.ceil(r["share"] * parts))).otherwise(ways)
+    return ways
+
+
 def orphan_references(references: DataFrame, sides: Mapping[str, tuple[str, str]], parents: Mapping[str, DataFrame], removals: DataFrame) -> DataFrame:
     """Every reference whose target is unreadable, missing, removed or late.
 
     ``references`` has ``id``, ``loaded_at`` and pointer columns; ``sides`` maps a side to its
     ``(pointer column, parent table)``. The result has one row ``(reference_id, side, table,
     first_loaded_at, reason)`` per reference id and side. A reference counts from its first load;
-    delivered again with another pointer, each of its pointers is judged, and the first reason of
-    ``late, missing, removed, unreadable`` stands. Null pointers are no references; rows without id
+    delivered again with another pointer, each of its pointers is judged, and the first of
+    ``REASONS`` stands. Null pointers are no references; rows without id
     are judged one by one and share a result row per side; empty tables give an empty result.
     """
-    ways = F.array(*[F.lit(i) for i in range(WAYS)])
-    every = references.select(
-        F.col("id").alias("_id"),
-        F.when(F.col("id").isNull(), F.xxhash64(F.col("loaded_at"), *[F.col(c) for c, _ in sides.values()])).alias("_alone"),  # no id, no common group
-        F.col("loaded_at").alias("_at"),
-        *[pointer_key(F.col(c), t).alias(f"_k_{s}") for s, (c, t) in sides.items()],
-        *[F.col(c).isNotNull().alias(f"_p_{s}") for s, (c, _) in sides.items()],
-    )
-    # a delivery's pointers stay together until the reference's first load is known: one exchange on the id
-    by_id = every.groupBy("_id", "_alone").agg(
-        F.min("_at").alias("_first"),
-        F.collect_set(F.struct(*[c for c in every.columns if c[:3] in ("_k_", "_p_")])).alias("_pointers"),
-    )
-    refs = by_id.select("_id", "_first", F.explode("_pointers").alias("_p")).select(
-        "_id",
-        "_first",
-        F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("table"), F.col(f"_p._k_{s}").alias("key"), F.col(f"_p._p_{s}").alias("there")) for s, (_, t) in sides.items()])).alias("_r"),
-    )
-    # what can't be read goes through the merge as well, in ways that no parent has, so that the references are read once
-    key, way = F.col("_r.key"), salt(F.col("_id"), WAYS)
-    refs = refs.where("_r.there").select("_id", "_first", F.col("_r.side").alias("_side"), F.col("_r.table").alias("_table"), F.coalesce(key, F.lit("")).alias("_key"), F.when(key.isNotNull(), way).otherwise(-1 - salt(F.col("_id"), UNREAD_WAYS)).alias("_way"))
-    keys = parent_intervals(parents, removals).withColumn("_way", F.explode(ways))
+    alone = F.when(F.col("id").isNull(), F.xxhash64(F.col("loaded_at"), *[F.col(c) for c, _ in sides.values()]))  # no id, no common group
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("table"), pointer_key(F.col(c), t).alias("key"), F.col(c).isNotNull().alias("there")) for s, (c, t) in sides.items()]))
+    refs = references.select(F.col("id").alias("_id"), alone.alias("_alone"), F.col("loaded_at").alias("_at"), side.alias("_r"))
+    refs = refs.select("_id", "_alone", "_at", F.col("_r.side").alias("_side"), F.col("_r.table").alias("_table"), F.col("_r.key").alias("_key"), F.col("_r.there").alias("_there"))
+    ways = _ways(refs.select("_table", "_key"), shuffle_parts(references, 1))
+    # what has no key goes through the merge as well, in ways that no parent has, so that the references are read once
+    way = F.when(F.col("_key").isNotNull(), F.pmod(F.xxhash64("_id", "_alone"), ways).cast("int")).otherwise(-1 - salt(F.coalesce("_id", F.col("_alone").cast("string")), UNREAD_WAYS))
+    refs = refs.withColumn("_way", way).withColumn("_key", F.coalesce("_key", F.lit("")))
+    keys = parent_intervals(parents, removals).withColumn("_way", F.explode(F.sequence(F.lit(0), ways - 1)))
     merged = refs.join(keys.hint("merge"), ["_table", "_key", "_way"], "left")
-    reason = (
-        F.when(F.col("_way") < 0, "unreadable")
-        .when(F.coalesce("_stored", F.lit(0)) == 0, "missing")
-        .when(F.col("_until").isNotNull(), "removed")
-        .when(F.col("_from") > F.col("_first"), "late")
-    )
-    found = merged.select("_id", "_side", "_table", "_first", reason.alias("_reason")).where(F.col("_reason").isNotNull())
-    return found.groupBy(F.col("_id").alias("reference_id"), F.col("_side").alias("side"), F.col("_table").alias("table")).agg(
-        F.min("_first").alias("first_loaded_at"), F.min("_reason").alias("reason")
-    )
+    known = F.col("_there") & (F.col("_way") >= 0)
+    stored = F.coalesce("_stored", F.lit(0)) == 1
+    said = {
+        "unreadable": F.col("_there") & (F.col("_way") < 0),
+        "missing": known & ~stored,
+        "removed": known & stored & F.col("_until").isNotNull(),
+    }
+    # a reference is late if the last of its targets came after the first of its loads, whatever pointer that had
+    came = F.when(known & stored & F.col("_until").isNull(), F.col("_from"))
+    of_side = lambda s, c: F.when(F.col("_side") == s, c)
+    by_id = merged.select("_id", "_alone", "_at", "_side", came.alias("_came"), *[c.alias(f"_{k}") for k, c in said.items()]).groupBy("_id", "_alone").agg(
+        F.min("_at").alias("_first"),
+        *[F.max(of_side(s, F.col("_came"))).alias(f"_came_{s}") for s in sides],
+        *[F.max(of_side(s, F.col(f"_{k}"))).alias(f"_{k}_{s}") for s in sides for k in said],
+    )
+    reason = lambda s: F.coalesce(*[F.when(F.col(f"_{k}_{s}"), k) for k in REASONS[:3]], F.when(F.col(f"_came_{s}") > F.col("_first"), REASONS[3]))
+    judged = by_id.select("_id", "_first", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("table"), reason(s).alias("reason")) for s, (_, t) in sides.items()])).alias("_r"))
+    found = judged.where(F.col("_r.reason").isNotNull()).select("_id", "_first", "_r.*")
+    names = F.array(*map(F.lit, REASONS))
+    # only rows without id have more than one row for a side
+    shared = found.groupBy(F.col("_id").alias("reference_id"), "side", "table").agg(F.min("_first").alias("first_loaded_at"), F.min(F.array_position(names, F.col("reason"))).cast("int").alias("_i"))
+    return shared.select("reference_id", "side", "table", "first_loaded_at", F.element_at(names, F.col("_i")).alias("reason"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ judged as (
   select ref.id, ref.side, ref.tbl, ref.first,
     case when ref.key is null then 'unreadable' when coalesce(parent.stored, 0) = 0 then 'missing' when parent.until is not null then 'removed' when parent.since > ref.first then 'late' end as reason
   from ref left join parent on ref.tbl = parent.tbl and ref.key = parent.key),
-orphan as (select id, side, tbl, min(first) as first, min(reason) as reason from judged where reason is not null group by 1, 2, 3)
+orphan as (select id, side, tbl, min(first) as first, arg_min(reason, list_position(['unreadable', 'missing', 'removed', 'late'], reason)) as reason from judged where reason is not null group by 1, 2, 3)
 {result}"""
 
 
