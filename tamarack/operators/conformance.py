@@ -47,6 +47,9 @@ def needs(ontology: Ontology, catalog: Catalog) -> dict[str, Need]:
 
     for unit in ontology.types:
         undefined(unit.table, unit.declared_fields())
+        listed = {a.name for a in unit.attrs if a.values and is_safe_identifier(a.name)}
+        if listed and unit.table in out:
+            out[unit.table].sampled.setdefault(tuple(unit.order_key()), set()).update(listed)
     for r in ontology.relations:
         if r.kind == "edge":
             undefined(r.table or r.name, {r.weight.field} if r.weight else set())
@@ -191,8 +194,8 @@ class Judge:
         if not total:
             return say("REL-002", "VACUOUS", f"edge {name!r} is empty, so its direction is unknown, and {advice}")
         if wrong := sorted(self.facts.ends(name) - {(source, target)}):
-            return say("REL-002", "FAIL", f"edge {name!r}: sampled ends {wrong}, declared is {(source, target)}; {advice}")
-        return say("REL-002", "WARN", f"edge {name!r}: sampled ends are as declared, but {advice}")
+            return say("REL-002", "FAIL", f"edge {name!r}: ends {wrong}, declared is {(source, target)}; {advice}")
+        return say("REL-002", "WARN", f"edge {name!r}: ends are as declared, but {advice}")
 
     def _weight(self, say: _Of, table: Table, name: str, field: str, total: int) -> Finding:
         if not is_safe_identifier(field):

@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +27,22 @@ K1, B, RRF_K = 1.2, 0.75, 60
 UNITS, QUERIES, AT_ONCE = 8192, 8192, 128
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words between white space; none in null texts."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
+def tokens(text: Column, stem: bool = False) -> Column:
+    """Lower-case words between white space, or their stems; none in null texts."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
+    return F.transform(words, stemmed) if stem else words
+
+
+def stemmed(word: Column) -> Column:
+    """An English word without the ending of a plural or third person: Harman's S stemmer, the first rule whose ending fits decides."""
+    ends = lambda *endings: reduce(lambda a, b: a | b, [word.endswith(e) for e in endings])
+    without = lambda n: F.left(word, F.char_length(word) - n)
+    return (
+        F.when(ends("ies"), F.when(ends("eies", "aies"), word).otherwise(F.concat(without(3), F.lit("y"))))
+        .when(ends("es"), F.when(ends("aes", "ees", "oes"), word).otherwise(without(1)))
+        .when(ends("s"), F.when(ends("us", "ss"), word).otherwise(without(1)))
+        .otherwise(word)
+    )
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -38,15 +51,15 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.where("score is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "unit_id", "score", "place")
 
 
-def bm25(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(units: DataFrame, queries: DataFrame, k: int, stem: bool = False) -> DataFrame:
     """Full-text search: ``units(unit_id, text)`` by the words of ``queries(query_id, text)``.
 
     Queries are few, as people ask them: their terms are joined to the postings before anything is
     counted per term, so only postings of asked terms are shuffled. Words are taken as they stand,
-    without stemming. Unknown words score nothing; a query without known words has no result.
+    or by their stems. Unknown words score nothing; a query without known words has no result.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = units.select("unit_id", tokens(F.col("text")).alias("words"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), stem))).alias("term"))
+    words = units.select("unit_id", tokens(F.col("text"), stem).alias("words"))
     n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     hits = words.select("unit_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = hits.groupBy("term", "unit_id", "length").agg(F.count("*").alias("tf"))
@@ -86,14 +99,14 @@ def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([c.flatten() for c in lists.chunks]), pc.list_value_length(lists).to_numpy()
 
 
-def bm25_each(units: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def bm25_each(units: DataFrame, queries: DataFrame, k: int, digits: int = 9, stem: bool = False) -> DataFrame:
     """``bm25`` for many queries, whole texts among them, by scores of so many ``digits``.
 
     A block of units is an inverted file; a query adds up the weights of its words' postings there,
     and only its ``k`` best leave the block.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = units.select("unit_id", tokens(F.col("text")).alias("words"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), stem))).alias("term"))
+    words = units.select("unit_id", tokens(F.col("text"), stem).alias("words"))
     n, mean = words.agg(F.count("*"), F.avg(F.size("words"))).first()
     mean, ten = float(mean or 1), 10.0**digits
     df = words.select(F.explode(F.array_distinct("words")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -169,20 +182,33 @@ def cosine_each(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return _in_blocks(usable(units.select("unit_id", "emb")), usable(queries.select("query_id", "emb")), search, k, ["_dim"])
 
 
-def reciprocal_rank_fusion(lists: Sequence[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
-    """Ranked lists to one, by the sum of ``1 / (constant + place)``. A list that is missing or empty is no error."""
-    every = reduce(DataFrame.unionByName, [r.select("query_id", "unit_id", "place") for r in lists])
-    return ranked(every.groupBy("query_id", "unit_id").agg(F.sum(F.lit(1.0) / (constant + F.col("place"))).alias("score")), k)
+def _nothing(ranked_as: str = "query_id string, unit_id string, score double, place int") -> DataFrame:
+    return SparkSession.active().createDataFrame([], ranked_as)
+
 
+def reciprocal_rank_fusion(lists: Sequence[DataFrame | None], k: int, constant: int = RRF_K) -> DataFrame:
+    """Ranked lists to one, by the sum of ``1 / (constant + place)``. A list that is missing (``None``) or empty is no error; without any, nothing is ranked."""
+    there = [r.select("query_id", "unit_id", "place") for r in lists if r is not None]
+    if not there:
+        return _nothing()
+    return ranked(reduce(DataFrame.unionByName, there).groupBy("query_id", "unit_id").agg(F.sum(F.lit(1.0) / (constant + F.col("place"))).alias("score")), k)
 
-def linear_fusion(lists: Sequence[tuple[DataFrame, float]], k: int, scale: str = "min-max") -> DataFrame:
-    """Ranked lists to one, by weighted scores that are scaled per query and list: ``min-max`` or ``z-score``. Equal scores scale to 0."""
+
+def linear_fusion(lists: Sequence[tuple[DataFrame | None, float]], k: int, scale: str = "min-max", digits: int | None = None) -> DataFrame:
+    """Ranked lists to one, by weighted scores that are scaled per query and list: ``min-max`` or ``z-score``. Equal scores scale to 0.
+
+    Lists may be missing, as above. With ``digits``, sums are rounded before they are ranked.
+    """
     w = Window.partitionBy("query_id")
     score, parts = F.col("score"), []
     for ranking, weight in lists:
-        low, span = (F.min(score).over(w), F.max(score).over(w) - F.min(score).over(w)) if scale == "min-max" else (F.avg(score).over(w), F.stddev_pop(score).over(w))
-        parts.append(ranking.select("query_id", "unit_id", (F.when(span > 0, (score - low) / span).otherwise(0.0) * weight).alias("score")))
-    return ranked(reduce(DataFrame.unionByName, parts).groupBy("query_id", "unit_id").agg(F.sum("score").alias("score")), k)
+        if ranking is not None:
+            low, span = (F.min(score).over(w), F.max(score).over(w) - F.min(score).over(w)) if scale == "min-max" else (F.avg(score).over(w), F.stddev_pop(score).over(w))
+            parts.append(ranking.select("query_id", "unit_id", (F.when(span > 0, (score - low) / span).otherwise(0.0) * weight).alias("score")))
+    if not parts:
+        return _nothing()
+    total = F.sum("score") if digits is None else F.round(F.sum("score"), digits)
+    return ranked(reduce(DataFrame.unionByName, parts).groupBy("query_id", "unit_id").agg(total.alias("score")), k)
 
 
 def within_scope(units: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Measured facts about tables, with as few jobs as the checks need.
 
 A check's plan first states what it needs to know. Per table that is one aggregation for the row
-count and the presence of all undefined fields, whatever their number, and one ordered sample per
-sampled field; the ends of edges are aggregated over all rows. Tables are measured side by side. If
-a fused aggregation fails, its facts are measured one by one when they are asked for, so that one
-broken field spoils nothing else.
+count and the presence of all undefined fields, whatever their number, and one pass for the ordered
+samples of all text fields with a vocabulary; the ends of edges are aggregated over all rows. Tables are
+measured side by side. If a fused measurement fails, its error is kept and its facts are measured one by
+one when they are asked for, so that one broken field spoils nothing else.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ class Need:
     """What is to be measured of a table besides its row count."""
 
     present: set[str] = field(default_factory=set)
+    #: Fields to be sampled, by the key that orders their rows.
+    sampled: dict[tuple[str, ...], set[str]] = field(default_factory=dict)
 
 
 def _sortable(t: T.DataType) -> bool:
@@ -58,6 +60,19 @@ def sample(table: Table, name: str, limit: int, order: list[str]) -> DataFrame:
     return rows.orderBy(*[c for c in rows.columns if _sortable(rows.schema[c].dataType)]).limit(limit).select("value")
 
 
+def samples(table: Table, names: list[str], limit: int, order: list[str]) -> DataFrame:
+    """``sample`` for several text fields in one pass: ``(field, value)``.
+
+    Each task keeps the first rows of each field before any are exchanged.
+    """
+    known = [k for k in order if k in table.rows.columns] or table.rows.columns[:1]
+    keys = [k for k in known if _sortable(table.rows.schema[k].dataType)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), table.value(n).alias("value")) for n in names]))
+    rows = table.rows.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], each.alias("_s")).select("*", "_s.*").where("value is not null")
+    first = Window.partitionBy("field").orderBy(*[f"k{i}" for i in range(len(keys))], "value")
+    return rows.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= limit).select("field", "value")
+
+
 def edge_ends(table: Table) -> DataFrame:
     """Distinct ``(source, target)`` tables of all edges; a missing pointer reads ``None``.
 
@@ -82,6 +97,9 @@ class Facts:
         self.catalog = catalog
         self._totals: dict[str, int] = {}
         self._present: dict[tuple[str, str], int] = {}
+        self._sampled: dict[tuple[str, str, tuple[str, ...]], list[object]] = {}
+        #: What went wrong in a fused measurement, by table.
+        self.failed: dict[str, Exception] = {}
 
     def _measure(self, name: str, fields: list[str]) -> None:
         table = self.catalog.tables[name]
@@ -94,8 +112,10 @@ class Facts:
         def fused(item: tuple[str, Need]) -> None:
             try:
                 self._measure(item[0], sorted(item[1].present))
-            except Exception:  # noqa: BLE001 - the fact that fails does so again, alone, where it is asked for
-                pass
+                for order, names in item[1].sampled.items():
+                    self._sample(item[0], names, order)
+            except Exception as e:  # noqa: BLE001 - the fact that fails does so again, alone, where it is asked for
+                self.failed[item[0]] = e
 
         with ThreadPoolExecutor(AT_ONCE) as pool:
             list(pool.map(fused, needs.items()))
@@ -110,7 +130,19 @@ class Facts:
             self._measure(name, [field_name])
         return self._present[name, field_name]
 
+    def _sample(self, name: str, names: set[str], order: tuple[str, ...]) -> None:
+        table = self.catalog.tables[name]
+        there = {n: v for n in names if table.rows is not None and (v := table.value(n)) is not None}
+        types = dict(table.rows.select(*[v.alias(n) for n, v in there.items()]).dtypes) if there else {}
+        if texts := sorted(n for n, t in types.items() if t == "string"):
+            out: dict[str, list[object]] = {n: [] for n in texts}
+            for r in samples(table, texts, VALUES, list(order)).collect():
+                out[r["field"]].append(r["value"])
+            self._sampled |= {(name, n, order): v for n, v in out.items()}
+
     def values(self, name: str, field_name: str, order: list[str]) -> list[object]:
+        if (name, field_name, tuple(order)) in self._sampled:
+            return self._sampled[name, field_name, tuple(order)]
         table = self.catalog.tables[name]
         return [] if table.value(field_name) is None else [r[0] for r in sample(table, field_name, VALUES, order).collect()]
 

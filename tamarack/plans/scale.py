@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that all executors share, and read from there.
 
     The folder is the session's ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder. A lost executor loses nothing of it.
+    temporary folder, which is removed when the driver ends. A lost executor loses nothing of it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -24,6 +26,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tamarack-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -93,16 +93,26 @@ def table_def(name: str, raw: str) -> TableDef:
     return out
 
 
+_ARGUMENTS = re.compile(r"<[^<>]*>")
+
+
 def split_union(t: str) -> list[str]:
-    """Members of a union type, not looking inside angle brackets."""
-    members, depth = [""], 0
-    for c in t:
-        depth += (c == "<") - (c == ">")
-        if c == "|" and not depth:
-            members.append("")
-        else:
-            members[-1] += c
-    return [m for m in members if m]
+    """Members of a union type, not looking inside angle brackets.
+
+    Arguments are set aside from the innermost outwards, what is left is cut at pipes, and they are put back.
+    """
+    aside: list[str] = []
+
+    def set_aside(m: re.Match[str]) -> str:
+        aside.append(m[0])
+        return f"\0{len(aside) - 1}\0"
+
+    while _ARGUMENTS.search(t):
+        t = _ARGUMENTS.sub(set_aside, t)
+    members = [m for m in t.split("|") if m]
+    for i in reversed(range(len(aside))):
+        members = [m.replace(f"\0{i}\0", aside[i]) for m in members]
+    return members
 
 
 def normalize_type(t: str) -> str:
