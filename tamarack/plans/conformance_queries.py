@@ -38,16 +38,17 @@ DOCUMENT = UnitType("document", "document", attrs=[Attr("status", "string")])
 FEED = UnitType("feed", "feed", attrs=[Attr("name", "string")])
 PICTURE = UnitType("picture", "embeddings", id=StableId.of("vec_id"), vector=Vector("embedding", 64, "euclidean"), fulltext=FullText("label"))
 TITLE = UnitType("title", "news", fulltext=FullText("title", "words"))
+SHAPE = UnitType("shape", "document", vector=Vector("status", 64))  # no list, so no embedding
 MENTIONS = Relation("mentions", "news", "entity", weight=Weight("relevance"))
 
 ONTOLOGIES = {
     "findings_table": Ontology([NOTE, UnitType("gone", "no_such_table"), UnitType("odd", "a b")]),
     "findings_fields": Ontology([EVENT, UnitType("reading", "events", text="x-y")]),
     "findings_vocabulary": Ontology([ENTITY]),
-    "findings_vector": Ontology([NEWS, PICTURE, NOTE]),
+    "findings_vector": Ontology([NEWS, PICTURE, NOTE, SHAPE]),
     "findings_fulltext": Ontology([TITLE]),
     "findings_edge": Ontology([FEED, DOCUMENT, UnitType("news", "news"), UnitType("entity", "entity")], [MENTIONS, Relation("cites", "news", "document"), Relation("cited_by", "document", "news", table="cites"), Relation("follows", "news", "news", weight=Weight("w")), Relation("lost", "news", "entity"), Relation("order", "news", "entity", table="orders")]),
-    "findings_link": Ontology([UnitType("news", "news"), FEED, UnitType("event", "events"), NOTE], [Relation("from_feed", "news", "feed", kind="field_link", field="feed"), Relation("of_user", "event", "feed", kind="field_link", field="user_id"), Relation("of_none", "event", "feed", kind="field_link", field="zz"), Relation("of_note", "note", "feed", kind="field_link", field="f")]),
+    "findings_link": Ontology([UnitType("news", "news"), FEED, UnitType("event", "events"), NOTE], [Relation("from_feed", "news", "feed", kind="field_link", field="feed"), Relation("of_user", "event", "feed", kind="field_link", field="user_id"), Relation("of_none", "event", "feed", kind="field_link", field="zz"), Relation("of_note", "note", "feed", kind="field_link", field="f"), Relation("of_event", "news", "event", kind="field_link", field="feed"), Relation("of_body", "news", "feed", kind="field_link", field="body")]),
     "findings_freshness": Ontology([NOTE], freshness=[Freshness("note", "body", "30d"), Freshness("note", "at", "30d")]),
     "flagship_report": Ontology([ENTITY, EVENT, PICTURE, NOTE], [], [], [Freshness("event", "ts", "30d")]),
 }
@@ -198,6 +199,10 @@ _NEWS = [
     ("VEC-002", "'PASS'", "type:news", "news", _text("index 'by_vector' has dimension 64")), ("VEC-003", "'FAIL'", "type:news", "news", _text("index 'by_vector' has distance euclidean, declared is cosine")), _dimensions("type:news", "news", "emb", 64, "id"),
     ("FTS-001", "'PASS'", "type:news", "news", _text("full-text index 'by_body' covers 'body' (analyzer words)")), ("FTS-003", "'WARN'", "type:news", "news", _text("analyzer 'words' does not stem 'french': DEFINE ANALYZER words TOKENIZERS blank FILTERS lowercase, snowball(english)")),
 ]
+_SHAPE = [
+    _exists("type:shape", "document", "SCHEMAFULL", "normal"), _defined("type:shape", "document", "status"), ("VEC-001", "'FAIL'", "type:shape", "document", _text("no vector index (hnsw, mtree, diskann) covers 'status'")),
+    ("VEC-010", "(select case when count_if(data_type like '%[]') = 0 then 'VACUOUS' end from information_schema.columns where table_name = 'document' and column_name = 'status')", "type:shape", "document", _text("no row has an embedding in 'status'")),
+]
 _TITLE = [
     _exists("type:title", "news", "SCHEMAFULL", "normal"), _defined("type:title", "news", "title"), ("FTS-001", "'PASS'", "type:title", "news", _text("full-text index 'by_title' covers 'title' (analyzer lost)")),
     ("FTS-002", "'FAIL'", "type:title", "news", _text("declared analyzer is 'words', index 'by_title' has 'lost'")), ("FTS-002", "'FAIL'", "type:title", "news", _text("analyzer 'lost' of index 'by_title' is not defined")),
@@ -219,6 +224,7 @@ _LINKS = [
     _exists("type:news", "news", "SCHEMAFULL", "normal"), _exists("type:feed", "feed", "SCHEMAFULL", "normal"), _accepted("type:feed", "feed", "name", "string", "string"), _exists("type:event", "events", "SCHEMALESS", "any"), *_NOTE,
     ("REL-003", "'PASS'", "relation:from_feed", "news", _text("link field 'feed' is record<feed>")), _undefined("relation:of_user", "events", "user_id", "user_id", "REL-003", "link field"), _undefined("relation:of_none", "events", "zz", _ZZ, "REL-003", "link field"),
     ("REL-003", "'VACUOUS'", "relation:of_note", "note", _text("link field 'f' is not defined; 0 of 0 rows have it")),
+    *[("REL-003", f"case when contains('{kind}', 'record<{target}>') then 'PASS' else 'FAIL' end", f"relation:{name}", "news", _text(f"link field '{field}' is {kind}, declared is record<{target}>" + ('' if 'record' in kind else '; it is no link'))) for name, field, kind, target in (("of_event", "feed", "record<feed>", "events"), ("of_body", "body", "string", "feed"))],
 ]
 _FIELDS = [*_EVENT, _exists("type:reading", "events", "SCHEMALESS", "any"), ("FLD-000", "'FAIL'", "type:reading", None, _text("field name 'x-y' is no plain identifier"))]
 
@@ -226,7 +232,7 @@ SQL = {
     "findings_table": _rows(*_NOTE, ("TBL-001", "'FAIL'", "type:gone", "no_such_table", _text("table 'no_such_table' does not exist")), ("TBL-000", "'FAIL'", "type:odd", None, _text("table name 'a b' is no plain identifier"))),
     "findings_fields": _rows(*_FIELDS),
     "findings_vocabulary": _rows(*_ENTITY),
-    "findings_vector": _rows(*_NEWS, *_PICTURE, *_NOTE),
+    "findings_vector": _rows(*_NEWS, *_PICTURE, *_NOTE, *_SHAPE),
     "findings_fulltext": _rows(*_TITLE),
     "findings_edge": _rows(*_EDGES),
     "findings_link": _rows(*_LINKS),

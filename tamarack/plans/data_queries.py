@@ -111,7 +111,7 @@ moved as (
 
 
 #: Columns without vocabulary have one way to be written here, so what their expression must cover is the commonest mask.
-_COVERAGE = """
+_COVERAGE = r"""
 with v as (
   select load_id, 'code' as field_name, code as value from technical_assessment union all select load_id, 'issued_at', issued_at::varchar from technical_assessment),
 m as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[.][0-9]+$', ''), '\p{Ll}', 'a', 'g'), '\p{Lu}', 'A', 'g'), '\p{Nd}', '9', 'g') as mask from v),

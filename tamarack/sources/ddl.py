@@ -79,7 +79,7 @@ def table_def(name: str, raw: str) -> TableDef:
     A relation needs both ends or neither; with one only it is a normal table.
     """
     words = _words(raw)
-    out = TableDef(name, raw, schemafull="SCHEMAFULL" in raw.split()[1:])
+    out = TableDef(name, raw, schemafull="SCHEMAFULL" in raw.rstrip("; \n").split()[1:])
     pairs = set(zip(words, words[1:], strict=False))
     if ("TYPE", "ANY") in pairs:
         out.kind = "any"
@@ -117,10 +117,9 @@ def split_union(t: str) -> list[str]:
 
 def normalize_type(t: str) -> str:
     """One spelling per type: no blanks, lower case, ``option<T>`` as ``none|T``, members of a union sorted."""
-    t = "".join(t.split()).lower()
-    if t.startswith("option<") and t.endswith(">") and len(t) > 8:
-        t = "none|" + t[7:-1]
-    return "|".join(sorted(split_union(t)))
+    members = split_union("".join(t.split()).lower())
+    options = {m: m[7:-1] for m in members if m.startswith("option<") and m.endswith(">") and len(m) > 8}
+    return "|".join(sorted(x for m in members for x in (["none", *split_union(options[m])] if m in options else [m])))
 
 
 def core_type(t: str) -> str:
