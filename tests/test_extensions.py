@@ -96,3 +96,58 @@ def test_chunks(spark):
     assert got == {(1, 0): "abcd", (1, 1): "defg", (1, 2): "ghij", (4, 0): "abc"}
     with pytest.raises(ValueError):
         evidence.chunks(df, 4, 4)
+
+
+def test_fusion_without_any_list(spark):
+    a = ranking(spark, [("q", "x", 9.0, 1)])
+    for lists in ([], [None], [None, None]):
+        assert retrieval.reciprocal_rank_fusion(lists, 5).count() == retrieval.linear_fusion([(r, 1.0) for r in lists], 5).count() == 0
+    assert places(retrieval.reciprocal_rank_fusion([None, a], 5)) == places(retrieval.linear_fusion([(None, 0.9), (a, 0.1)], 5)) == {("q", "x", 1)}
+    b = ranking(spark, [("q", "x", 1.0, 1), ("q", "y", 0.9999999, 2), ("q", "z", 0.0, 3)])
+    assert places(retrieval.linear_fusion([(b, 1.0)], 2, digits=3)) == {("q", "x", 1), ("q", "y", 2)}
+
+
+def test_stems(spark):
+    cases = {"parties": "party", "movies": "movy", "eies": "eies", "gates": "gate", "goes": "goes", "trees": "trees", "pumps": "pump", "bus": "bus", "pass": "pass", "pump": "pump", "s": ""}
+    df = spark.createDataFrame([(w,) for w in cases], "w string").select("w", retrieval.stemmed(F.col("w")).alias("s"))
+    assert {r["w"]: r["s"] for r in df.collect()} == cases
+    units = spark.createDataFrame([("a", "Pumps"), ("b", "gate")], "unit_id string, text string")
+    asked = spark.createDataFrame([("q", "pump GATES"), ("r", None)], "query_id string, text string")
+    assert places(retrieval.bm25(units, asked, 5)) == set()
+    assert places(retrieval.bm25(units, asked, 5, stem=True)) == places(retrieval.bm25_each(units, asked, 5, stem=True)) == {("q", "a", 1), ("q", "b", 2)}
+
+
+def test_current_versions_are_whole_rows(spark):
+    v = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("a", 2, "y"), ("b", None, "z"), (None, 5, "w")], "unit_id string, version int, text string")
+    assert {tuple(r) for r in evidence.current_versions(v).collect()} == {("a", 2, "y")}
+    assert evidence.current_versions(v.limit(0)).count() == 0
+
+
+def test_what_has_to_be_made_again(spark):
+    uses = spark.createDataFrame([("u", "a", 1), ("u", "a", 1), ("v", "a", 2), ("w", "gone", 1), ("x", "a", None), ("y", None, 1)], "unit_id string, origin_id string, used int")
+    now = spark.createDataFrame([("a", 2), ("b", None)], "unit_id string, version int")
+    assert [tuple(r) for r in evidence.stale_dependents(uses, now).collect()] == [("u", "a", 1, 2)]
+    status = {(r["unit_id"], r["status"]) for r in evidence.verify_derivations(uses, now).collect()}
+    assert status == {("u", "origin_changed"), ("v", "verified"), ("w", "origin_missing"), ("x", "origin_changed"), ("y", "origin_missing")}
+
+
+def test_existence_and_receipts(spark):
+    cited = spark.createDataFrame([("c", "a"), ("c", "a"), ("d", "z"), ("e", None)], "citation_id string, unit_id string")
+    units = spark.createDataFrame([("a", "text"), ("b", None)], "unit_id string, text string")
+    assert sorted((r["citation_id"], r["status"]) for r in evidence.verify_existence(cited, units.unionAll(units)).collect()) == [("c", "verified"), ("c", "verified"), ("d", "unit_missing"), ("e", "unit_missing")]
+    md5 = lambda s: __import__("hashlib").md5(s.encode()).hexdigest()
+    receipts = spark.createDataFrame([("r", "a", md5("text")), ("s", "a", md5("old")), ("t", "b", md5("")), ("u", "z", md5("")), ("v", "a", None)], "receipt_id string, unit_id string, text_hash string")
+    assert {(r["receipt_id"], r["status"]) for r in evidence.verify_receipts(receipts, units).collect()} == {("r", "verified"), ("s", "text_changed"), ("t", "verified"), ("u", "unit_missing"), ("v", "text_changed")}
+
+
+def test_sections(spark):
+    text = "Before.\n\n# One\n \nA\nb.\n\n  C.  \r\n\r\n2.1. Two\n\n\n3. not a\nheading"
+    df = spark.createDataFrame([(1, text), (2, None), (3, " \n\n "), (4, "# Only")], "unit_id int, text string")
+    got = sorted(tuple(r) for r in evidence.sections(df).collect())
+    assert got == [(1, 0, None, "Before."), (1, 1, "# One", "A\nb."), (1, 2, "# One", "C."), (1, 3, "2.1. Two", "3. not a\nheading")]
+
+
+def test_approximate_latencies(spark):
+    events = spark.createDataFrame([("t", i, float(i), True) for i in range(1, 1001)], "tool string, unit_id int, latency double, cited boolean")
+    r = evidence.use_by_tool(events, 1000).first()
+    assert abs(r["median_latency"] - 500) <= 2 and abs(r["p95_latency"] - 950) <= 2

@@ -45,3 +45,20 @@ def test_null_ids_and_times(spark):
 def test_empty_tables(spark):
     assert judge(spark, []).count() == 0
     assert orphan_report(judge(spark, [])).count() == 0
+
+
+def test_heavy_keys_and_pointers_of_one_reference(spark):
+    """A third of all mentions point to one record, another third is one mention delivered with ever other pointers."""
+    day = lambda n: dt(2024, 1, n)
+    mentions = [(f"m{i}", "news:hot", None, day(5), "") for i in range(2000)] + [("many", f"news:{i}", None, day(2 + i % 9), "") for i in range(2000)] + [(f"x{i}", f"news:{i}", None, day(5), "") for i in range(2000)]
+    news = [("news:hot", day(1), 0)] + [(f"news:{i}", day(1 if i < 1500 else 20), 0) for i in range(1990)]
+    df = judge(spark, mentions, news)
+    assert reasons(df) == {(f"x{i}", "in"): "late" for i in range(1500, 1990)} | {(f"x{i}", "in"): "missing" for i in range(1990, 2000)} | {("many", "in"): "missing"}
+    assert judge(spark, [("m", "news:a", "entity:b", day(5), "")] * 5).count() == 2
+
+
+def test_the_first_of_several_reasons_stands(spark):
+    day = lambda n: dt(2024, 1, n)
+    mentions = [("m", p, None, day(5), "") for p in ("news:late", "news:none", "news:gone")] + [("n", p, None, day(5), "") for p in ("news:late", "news:gone", "news:a")] + [("o", "news:late", None, day(5), ""), ("o", "lost", None, day(9), "")]
+    news = [("news:late", day(9), 0), ("news:gone", day(1), 0), ("news:a", day(1), 0)]
+    assert reasons(judge(spark, mentions, news, (), [("news:gone", day(2))])) == {("m", "in"): "missing", ("n", "in"): "removed", ("o", "in"): "unreadable"}

@@ -65,8 +65,8 @@ def test_evaluate_common_is_evaluate(spark):
 
 @pytest.mark.parametrize("name", ["bm25_top", "cosine_top", "rank_fusion", "score_fusion", "diverse_top", "budget_top", "evaluation"])
 def test_every_fiftieth_record_is_a_query(spark, tmp_path, name):
-    news = [(f"news:n{i:05}", f"The repair of weir {i} and pump {i % 7}", f"feed:{i % 5}", datetime(2025, 1, 1 + i % 28)) for i in range(201)]
-    spark.createDataFrame(news, "id string, body string, feed string, published_at timestamp_ntz").write.parquet(f"{tmp_path}/news.parquet")
+    news = [(f"news:n{i:05}", f"The repair of weir {i} and pump {i % 7}", f"feed:{i % 5}", datetime(2025, 1, 1 + i % 28), None) for i in range(201)]
+    spark.createDataFrame(news, "id string, body string, feed string, published_at timestamp_ntz, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/news.parquet")
     spark.createDataFrame([(i, [1.0, float(i)]) for i in range(201)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["query_id"] for r in extension_queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {str(i) if name == "cosine_top" else f"news:n{i:05}" for i in range(0, 201, 50)}
