@@ -14,7 +14,7 @@ import math
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import pointer_key
@@ -24,6 +24,8 @@ from tamarack.plans.scale import salt, shuffle_parts
 REASONS = ("unreadable", "missing", "removed", "late")
 #: References that heavy keys are looked for in, about, and the share of them from which a key is heavy.
 SAMPLE, HEAVY = 200_000, 0.01
+#: A heavy key's ways are this part of a partition's fair share each.
+FINE = 8
 #: Ways over which what can't be read spreads.
 UNREAD_WAYS = 1024
 
@@ -53,18 +55,27 @@ def at_type(df: DataFrame) -> str:
     return dict(df.dtypes)["loaded_at"]
 
 
-def _ways(keys: DataFrame, parts: int) -> Column:
+def _exploded(references: DataFrame, sides: Mapping[str, tuple[str, str]], *columns: Column) -> DataFrame:
+    """A row per reference and side: the given columns, ``_side``, ``_table``, ``_key`` and whether the pointer is ``_there``."""
+    # keys are read before sides become rows, as Spark shares common parts of expressions in projections only
+    read = references.select(*columns, *[x for s, (c, t) in sides.items() for x in (pointer_key(F.col(c), t).alias(f"_key_{s}"), F.col(c).isNotNull().alias(f"_there_{s}"))])
+    own = [c for c in read.columns if not c.startswith(("_key_", "_there_"))]
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("_side"), F.lit(t).alias("_table"), F.col(f"_key_{s}").alias("_key"), F.col(f"_there_{s}").alias("_there")) for s, (_, t) in sides.items()]))
+    return read.select(*own, side.alias("_r")).select(*own, "_r.*")
+
+
+def _ways(references: DataFrame, sides: Mapping[str, tuple[str, str]], parts: int) -> Column:
     """Ways in which the references to a key are split, and its parent row repeated: 1, but for heavy keys as many as they fill partitions.
 
     Heavy keys are found in a sample, ``1 / HEAVY`` of them at most. It decides where rows go, not what comes out.
     """
-    n = max(1, keys.count())
-    sampled = keys.where(F.col("_key").isNotNull()).sample(min(1.0, SAMPLE / n), seed=0).groupBy("_table", "_key").agg(F.count("*").alias("n"))
-    share = F.col("n") / min(n, SAMPLE)
-    heavy = sampled.where(share >= max(HEAVY, 1 / parts)).select("_table", "_key", share.alias("share")).collect()
+    some = references.sample(min(1.0, SAMPLE / max(1, references.count())), seed=0)
+    keys = _exploded(some, sides).where(F.col("_key").isNotNull()).groupBy("_table", "_key").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("_table"))
+    heavy = keys.withColumn("share", share).where(F.col("share") >= max(HEAVY, 1 / (FINE * parts))).select("_table", "_key", "share").collect()
     ways = F.lit(1)
     for r in heavy:
-        ways = F.when((F.col("_table") == r["_table"]) & (F.col("_key") == r["_key"]), min(1024, math.ceil(r["share"] * parts))).otherwise(ways)
+        ways = F.when((F.col("_table") == r["_table"]) & (F.col("_key") == r["_key"]), min(1024, math.ceil(r["share"] * FINE * parts))).otherwise(ways)
     return ways
 
 
@@ -79,10 +90,8 @@ def orphan_references(references: DataFrame, sides: Mapping[str, tuple[str, str]
     are judged one by one and share a result row per side; empty tables give an empty result.
     """
     alone = F.when(F.col("id").isNull(), F.xxhash64(F.col("loaded_at"), *[F.col(c) for c, _ in sides.values()]))  # no id, no common group
-    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(t).alias("table"), pointer_key(F.col(c), t).alias("key"), F.col(c).isNotNull().alias("there")) for s, (c, t) in sides.items()]))
-    refs = references.select(F.col("id").alias("_id"), alone.alias("_alone"), F.col("loaded_at").alias("_at"), side.alias("_r"))
-    refs = refs.select("_id", "_alone", "_at", F.col("_r.side").alias("_side"), F.col("_r.table").alias("_table"), F.col("_r.key").alias("_key"), F.col("_r.there").alias("_there"))
-    ways = _ways(refs.select("_table", "_key"), shuffle_parts(references, 1))
+    refs = _exploded(references, sides, F.col("id").alias("_id"), alone.alias("_alone"), F.col("loaded_at").alias("_at"))
+    ways = _ways(references, sides, shuffle_parts(references, 1))
     # what has no key goes through the merge as well, in ways that no parent has, so that the references are read once
     way = F.when(F.col("_key").isNotNull(), F.pmod(F.xxhash64("_id", "_alone"), ways).cast("int")).otherwise(-1 - salt(F.coalesce("_id", F.col("_alone").cast("string")), UNREAD_WAYS))
     refs = refs.withColumn("_way", way).withColumn("_key", F.coalesce("_key", F.lit("")))
