@@ -97,7 +97,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records, each in one row, to the containers of the partition's blocks."""
     number, block, part = 0, _Block(), TaskContext.get().partitionId() if TaskContext.get() else 0
     for b in batches:
-        at = 0
+        b, at = b.filter(pc.greater(pc.list_value_length(b.column(1)), 0)), 0
         while at < b.num_rows:
             some = b.slice(at, min(b.num_rows - at, BLOCK - number % BLOCK))
             block.set(some.column(0), some.column(1), number % BLOCK)
@@ -116,8 +116,8 @@ def term_bitmaps(values: DataFrame) -> DataFrame:
     no term. A row without id is no record and sets no bit. The distinct values of one record meet in one task.
     """
     ship_code(values.sparkSession)
-    terms = terms_of(F.col("value"))
-    records = values.where(F.col("id").isNotNull() & (F.size(terms) > 0)).groupBy("field_name", "id").agg(F.flatten(F.collect_set(terms)).alias("items"))
+    # values without a term are dropped behind the exchange, as a filter here would read every value twice
+    records = values.where("id is not null and value is not null").groupBy("field_name", "id").agg(F.flatten(F.collect_set(terms_of(F.col("value")))).alias("items"))
     return records.select("field_name", "items").mapInArrow(_bitmaps, BITMAPS)
 
 
