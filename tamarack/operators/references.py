@@ -22,8 +22,8 @@ from tamarack.plans.scale import salt, shuffle_parts
 
 #: Why a reference is an orphan; the first that holds for any of its pointers stands.
 REASONS = ("unreadable", "missing", "removed", "late")
-#: References that heavy keys are looked for in, about, and the share of them from which a key is heavy.
-SAMPLE, HEAVY = 200_000, 0.01
+#: References that heavy keys are looked for in, about, the share of them from which a key is heavy, and references that one task can hold.
+SAMPLE, HEAVY, LIGHT = 200_000, 0.01, 500_000
 #: A heavy key's ways are this part of a partition's fair share each.
 FINE = 8
 #: Ways over which what can't be read spreads.
@@ -69,7 +69,10 @@ def _ways(references: DataFrame, sides: Mapping[str, tuple[str, str]], parts: in
 
     Heavy keys are found in a sample, ``1 / HEAVY`` of them at most. It decides where rows go, not what comes out.
     """
-    some = references.sample(min(1.0, SAMPLE / max(1, references.count())), seed=0)
+    n = references.count()  # from the files' footers
+    if n <= LIGHT:  # no key can be heavy
+        return F.lit(1)
+    some = references.sample(min(1.0, SAMPLE / n), seed=0)
     keys = _exploded(some, sides).where(F.col("_key").isNotNull()).groupBy("_table", "_key").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("_table"))
     heavy = keys.withColumn("share", share).where(F.col("share") >= max(HEAVY, 1 / (FINE * parts))).select("_table", "_key", "share").collect()

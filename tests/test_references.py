@@ -1,5 +1,6 @@
 from datetime import datetime as dt
 
+from tamarack.operators import references
 from tamarack.operators.references import orphan_references, orphan_report
 
 SIDES = {"in": ("in_id", "news"), "out": ("out_id", "entity")}
@@ -47,8 +48,9 @@ def test_empty_tables(spark):
     assert orphan_report(judge(spark, [])).count() == 0
 
 
-def test_heavy_keys_and_pointers_of_one_reference(spark):
+def test_heavy_keys_and_pointers_of_one_reference(spark, monkeypatch):
     """A third of all mentions point to one record, another third is one mention delivered with ever other pointers."""
+    monkeypatch.setattr(references, "LIGHT", 100)
     day = lambda n: dt(2024, 1, n)
     mentions = [(f"m{i}", "news:hot", None, day(5), "") for i in range(2000)] + [("many", f"news:{i}", None, day(2 + i % 9), "") for i in range(2000)] + [(f"x{i}", f"news:{i}", None, day(5), "") for i in range(2000)]
     news = [("news:hot", day(1), 0)] + [(f"news:{i}", day(1 if i < 1500 else 20), 0) for i in range(1990)]
