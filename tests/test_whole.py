@@ -77,3 +77,30 @@ def test_undelivered_takes_all_citations(spark, tmp_path):
     spark.createDataFrame(rows, "in_id string, out_id string").write.parquet(f"{tmp_path}/mentions.parquet")
     got = {tuple(r) for r in extension_queries.undelivered(spark, str(tmp_path)).collect()}
     assert got == {("news:1", "entity:17"), ("news:3", None)}
+
+
+def test_samples_of_several_fields_in_one_pass_are_the_samples_of_each(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(50) if i % 9 else None, rnd.choice(["a", "b", None, f"v{i}"]), None if i % 3 else f"w{i % 7}", f'{{"k": "{i % 5}"}}' if i % 2 else None) for i in range(900)]
+    t = from_frames({"t": spark.createDataFrame(rows, "n int, x string, y string, props string").repartition(7)}, "DEFINE TABLE t SCHEMALESS", payloads={"t": "props"}).tables["t"]
+    for order in (["n"], [], ["lost", "x"]):
+        got: dict[str, list] = {"x": [], "y": [], "k": []}
+        for r in facts.samples(t, list(got), 40, order).collect():
+            got[r["field"]].append(r["value"])
+        assert {f: sorted(v) for f, v in got.items()} == {f: sorted(r["value"] for r in facts.sample(t, f, 40, order).collect()) for f in got}
+
+
+def test_a_measurement_that_fails_is_kept_and_made_alone(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.ontology import Attr, Ontology, UnitType
+    from tamarack.operators.conformance import needs
+
+    broken = spark.range(3).select(F.col("id"), F.raise_error(F.lit("unreadable")).cast("string").alias("x"), F.lit("a").alias("y"))
+    ontology = Ontology([UnitType("u", "t", attrs=[Attr("x", "string", ["a"]), Attr("y", "string", ["a"])])])
+    catalog = from_frames({"t": broken}, "DEFINE TABLE t SCHEMALESS")
+    measured = facts.Facts(catalog)
+    measured.prefetch(needs(ontology, catalog))
+    assert "unreadable" in str(measured.failed["t"]) and measured.values("t", "y", []) == ["a"] * 3
+    with pytest.raises(Exception, match="unreadable"):
+        measured.values("t", "x", [])
